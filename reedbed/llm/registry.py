@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid
+from . import exact_dedup, langid, near_dedup, packing, quality, toxicity
 
 
 def queries() -> dict:
-    return {"op9_language_id": langid.op9, "op10_exact_dedup": exact_dedup.op10}
+    return {
+        "op1_toxicity": toxicity.op1,
+        "op6_near_dedup": near_dedup.op6,
+        "op7_quality": quality.op7,
+        "op8_packing": packing.op8,
+        "op9_language_id": langid.op9,
+        "op10_exact_dedup": exact_dedup.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
