@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, near_dedup, packing, quality, toxicity
+from . import chat, exact_dedup, langid, near_dedup, packing, pieces, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
+        "op2_chat_format": chat.op2,
+        "op4_n_best_pieces": pieces.op4,
+        "op5_warc_fixity": warc.op5,
         "op6_near_dedup": near_dedup.op6,
         "op7_quality": quality.op7,
         "op8_packing": packing.op8,
@@ -17,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op5_warc_fixity": warc.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

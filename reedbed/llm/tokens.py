@@ -1,8 +1,9 @@
 """Token ids of whole texts with a public word-end BPE vocabulary.
 
-The tokenizer drops white space and never merges across it, so a text's ids are the ids of its chunks in a row.
-Each worker keeps a table from chunk to ids (a cache: emptied when large); a chunk of Latin letters with plain signs
-after it is looked up by its lower-cased letters, and new ones are encoded many at a time and split at the word ends.
+The tokenizer lower-cases a text, drops white space, and encodes runs of letters, single digits, runs of signs and a few
+contractions one by one. Texts of Latin-1 characters are split the same way here and each part's ids are looked up in a
+table that each worker keeps (a cache: emptied when large); new parts are encoded many at a time and divided at the
+ends of words. Any other text is split at spaces and line ends only and its chunks go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import numpy as np
 
 #: White space that separates chunks here; other white space is left to the tokenizer.
 CHUNK = re.compile(r"[^ \n\t\r]+")
-#: Latin-1 letters, then signs other than the apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-CHUNK_LIMIT, WORD_LIMIT = 300_000, 600_000
+#: The vocabulary's parts of a text, for lower-cased Latin-1 characters.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: Characters that PART holds for: printable Latin-1 and plain white space, without the no-break space.
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+LIMIT = 700_000
 ID = np.dtype("<u4")
 
 
@@ -37,55 +40,51 @@ class Encoder:
             vocabulary = json.load(f)["model"]["vocab"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=ID).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], block: int = 400) -> None:
-        for at in range(0, len(words), block):
-            some = words[at : at + block]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=ID)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                data, last = ids.tobytes(), 0
-                for w, e in zip(some, (ends * 4).tolist(), strict=True):
-                    self.words[w] = data[last:e]
-                    last = e
+    def _learn(self, parts: list[str], block: int = 400) -> None:
+        for at in range(0, len(parts), block):
+            own = parts[at : at + block]
+            data = self._ids([" ".join(own)])[0]
+            ends = np.flatnonzero(self.ends[np.frombuffer(data, dtype=ID)]) + 1
+            if len(ends) == len(own):
+                last = 0
+                for part, end in zip(own, (ends * 4).tolist(), strict=True):
+                    self.parts[part] = data[last:end]
+                    last = end
             else:
-                self.words.update(zip(some, self._ids(some), strict=True))
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CHUNK_LIMIT:
-            self.chunks.clear()
-        if len(self.words) > WORD_LIMIT:
-            self.words.clear()
-        plain, other, words, signs = [], [], set(), set()
-        for c in chunks.difference(self.chunks):
-            m = PLAIN.fullmatch(c)
-            if m:
-                word, sign = m.groups()
-                word = word.lower()
-                plain.append((c, word, sign))
-                if word not in self.words:
-                    words.add(word)
-                if sign not in self.signs:
-                    signs.add(sign)
-            else:
-                other.append(c)
-        self._words(list(words))
-        self.signs.update(zip(signs, self._ids(list(signs)), strict=True))
-        for c, word, sign in plain:
-            self.chunks[c] = self.words[word] + self.signs[sign]
-        self.chunks.update(zip(other, self._ids(other), strict=True))
+                self.parts.update(zip(own, self._ids(own), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        split = [CHUNK.findall(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in split]
+        split, odd = [], []
+        for t in texts:
+            if not t:
+                split.append([])
+            elif plain(t):
+                split.append(PART.findall(t.lower()))
+            else:
+                odd.append(len(split))
+                split.append(())
+        if len(self.parts) > LIMIT:
+            self.parts.clear()
+        seen: set[str] = set()
+        seen.update(*split)
+        self._learn(list(seen.difference(self.parts)))
+        out = [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
+        for at in odd:
+            out[at] = b"".join(self._ids(CHUNK.findall(texts[at])))
+        return out
+
+
+def plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
 
 
 _ENCODERS: dict[str, Encoder] = {}
