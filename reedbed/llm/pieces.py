@@ -4,7 +4,8 @@ A text with a space before it is a chain of chunks (spaces, then other character
 the next, so each chunk has a lattice of its own. Forward Viterbi gives the best score up to every node; it is the exact
 heuristic of an A-star search backward from the end, which meets the N best paths of a chunk in order. The N best
 segmentations of a whole text deviate from the best one only in chunks of smallest regret (best less second best), so
-the search runs on those chunks alone and their lists are joined in order of score.
+the search runs on those chunks alone and their lists are joined in order of score. New chunks are cut where no piece
+holds both neighbours, and the forward and backward passes run over many parts of one length at once.
 
 A BPE model holds ranks, not probabilities: a piece of rank r gets the Zipf score log(1 / ((r + 1) * H)), in millionths,
 as an integer, so that sums do not depend on their order. Characters without a piece are spelled in bytes.
@@ -26,11 +27,14 @@ from .tokens import some, vocabulary_path
 
 MARK = "▁"
 #: Stands for a mark that the text itself holds; the model has no piece with it.
-OWN_MARK = ""
+OWN_MARK = "\uf8ff"
 CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 MICRO = 1_000_000
 LIMIT = 500_000
 N_BEST = 3
+NONE = -(1 << 60)
+#: Multiplier of the 64-bit hashes by which substrings of many segments are looked up at once.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattice:
@@ -52,7 +56,73 @@ class Lattice:
         self.scores = {piece: (i, -round(MICRO * log((r + 1) * norm))) for r, (_, i, piece) in enumerate(sorted(plain))}
         self.byte_score = -round(MICRO * (log(len(plain) * norm) + 5))
         self.longest = max(map(len, self.scores), default=1)
-        self.known: dict[str, tuple] = {}
+        self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        short = [(p, *v) for p, v in self.scores.items() if all(ord(c) < 0x10000 for c in p)]
+        hashes = np.array([self._hashes([p])[-1][0, 0] for p, _, _ in short], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.keys = hashes[order]
+        assert len(np.unique(self.keys)) == len(short)
+        self.values = np.array([(i, s) for _, i, s in short], dtype=np.int64)[order]
+        self.segments: dict[str, tuple[int, int, bytes]] = {}
+        self.ways: dict[tuple[str, int], list] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.numbers = np.zeros((0, 2), dtype=np.int64)
+
+    @staticmethod
+    def _hashes(texts: list[str], longest: int = 64) -> list[np.ndarray]:
+        """Hashes of all substrings of texts of one length, by their length: (texts, starts)."""
+        codes = np.frombuffer("".join(texts).encode("utf-16-le", "surrogatepass"), dtype=np.uint16).reshape(len(texts), -1).astype(np.uint64)
+        out = [(codes + np.uint64(1)) * FACTOR]
+        for size in range(2, min(longest, codes.shape[1]) + 1):
+            h = out[-1][:, :-1]
+            out.append(((h ^ (h >> np.uint64(31))) + codes[:, size - 1 :] + np.uint64(1)) * FACTOR)
+        return out
+
+    def best_of_many(self, texts: list[str]) -> list[tuple[int, int, bytes]]:
+        """``best`` of texts of one length, all of whose characters are pieces, side by side."""
+        n, length = len(texts), len(texts[0])
+        found = []  # by piece length: ids and scores (texts, starts)
+        for h in self._hashes(texts, self.longest):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            there = self.keys[at] == h
+            found.append((self.values[at, 0], np.where(there, self.values[at, 1], NONE)))
+        row = np.arange(n)
+        forward, back = np.zeros((n, length + 1), dtype=np.int64), np.zeros((n, length + 1), dtype=np.int64)
+        backward = np.full((n, length + 1), NONE, dtype=np.int64)
+        backward[:, length] = 0
+        for end in range(1, length + 1):
+            sizes = range(min(end, len(found)), 0, -1)  # on a tie the longest piece
+            ways = np.stack([forward[:, end - k] + found[k - 1][1][:, end - k] for k in sizes])
+            top = ways.argmax(0)
+            forward[:, end] = ways[top, row]
+            back[:, end] = sizes[0] - top
+        for start in range(length - 1, -1, -1):
+            backward[:, start] = np.stack([backward[:, start + k] + found[k - 1][1][:, start] for k in range(1, min(length - start, len(found)) + 1)]).max(0)
+        used = [np.zeros(s.shape, dtype=bool) for _, s in found]
+        at, steps = np.full(n, length), []
+        while at.any():
+            size = back[row, at]
+            step = np.full(n, -1, dtype=np.int64)
+            for k in np.unique(size[at > 0]).tolist():
+                own = np.flatnonzero((size == k) & (at > 0))
+                step[own] = found[k - 1][0][own, at[own] - k]
+                used[k - 1][own, at[own] - k] = True
+            steps.append(step)
+            at = np.where(at > 0, at - size, 0)
+        second = np.full(n, NONE, dtype=np.int64)
+        for k, (_, s) in enumerate(found, 1):
+            whole = np.where(used[k - 1], NONE, forward[:, : length - k + 1] + s + backward[:, k:])
+            second = np.maximum(second, whole.max(1))
+        ids = np.stack(steps[::-1], axis=1)
+        counts = (ids >= 0).sum(1).tolist()
+        data = ids.astype("<u4")
+        width = data.shape[1]
+        scores, regrets = forward[:, length].tolist(), np.where(second > NONE // 2, forward[:, length] - second, -1).tolist()
+        return [(scores[i], regrets[i], data[i, width - counts[i] :].tobytes()) for i in range(n)]
 
     def edges(self, chunk: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end, the (start, score, ids) of pieces that end there."""
@@ -123,38 +193,83 @@ class Lattice:
                 heapq.heappush(heap, (-(done + score + forward[start]), (start, *path), start, done + score, own + ids))
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > LIMIT:
-            self.known.clear()
-        for c in chunks.difference(self.known):
-            self.known[c] = self.best(c)
+    def cut(self, chunk: str) -> list[str]:
+        """The chunk between neighbours that no piece holds together; its best path is made of the parts' best paths."""
+        text, out, last, pairs = chunk.replace(" ", MARK), [], 0, self.pairs
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                out.append(text[last:i])
+                last = i
+        out.append(text[last:])
+        return out
+
+    def learn(self, chunks: set[str], block: int = 8192) -> None:
+        if len(self.index) > LIMIT:
+            self._reset()
+        if len(self.segments) > LIMIT:
+            self.segments.clear()
+        new = list(chunks.difference(self.index))
+        if not new:
+            return
+        plain = [None if MARK in c or OWN_MARK in c else self.cut(c) for c in new]
+        by_length: dict[int, list[str]] = {}
+        for s in {s for parts in plain if parts for s in parts}.difference(self.segments):
+            if len(s) <= 48 and all(map(self.scores.__contains__, s)) and ord(max(s)) < 0x10000:
+                by_length.setdefault(len(s), []).append(s)
+            else:
+                self.segments[s] = self.best(s.replace(MARK, " "))
+        for own in by_length.values():
+            for at in range(0, len(own), block):
+                self.segments.update(zip(own[at : at + block], self.best_of_many(own[at : at + block]), strict=True))
+        numbers = []
+        for chunk, parts in zip(new, plain, strict=True):
+            known = [self.segments[s] for s in parts] if parts else [self.best(chunk)]
+            self.index[chunk] = len(self.ids)
+            self.ids.append(b"".join([k[2] for k in known]) if len(known) > 1 else known[0][2])
+            numbers.append((sum(k[0] for k in known), min((k[1] for k in known if k[1] >= 0), default=-1)))
+        self.numbers = np.concatenate((self.numbers, np.array(numbers, dtype=np.int64)))
+
+    def several(self, chunk: str, n: int) -> list[tuple[int, bytes]]:
+        if len(self.ways) > LIMIT // 10:
+            self.ways.clear()
+        if (chunk, n) not in self.ways:
+            self.ways[chunk, n] = self.n_best(chunk, n)
+        return self.ways[chunk, n]
 
     def segment(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[int, bytes]]]:
         """For each text its up to ``n`` best (score, ids). An empty or null text has one, empty."""
         split = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        self.learn(set().union(*split))
+        seen: set[str] = set()
+        seen.update(*split)
+        self.learn(seen)
         out = []
         for chunks in split:
-            known = list(map(self.known.__getitem__, chunks))
-            parts = [k[2] for k in known]
-            top = [(sum(k[0] for k in known), {})]
-            if n > 1 and known:
-                regrets = np.array([k[1] for k in known], dtype=np.int64)
-                regrets[regrets < 0] = np.iinfo(np.int64).max
-                least = np.argpartition(regrets, n - 2)[: n - 1] if len(regrets) >= n else np.arange(len(regrets))
-                bound = regrets[least].max()
-                # of equal regrets the earlier chunks deviate
+            index = list(map(self.index.__getitem__, chunks))
+            parts = list(map(self.ids.__getitem__, index))
+            numbers = self.numbers[index] if index else np.zeros((0, 2), dtype=np.int64)
+            top = [(int(numbers[:, 0].sum()), {})]
+            if n > 1 and index:
+                # the chunks of smallest regret, of equal regrets the earlier ones: only these can deviate
+                regrets = np.where(numbers[:, 1] < 0, np.iinfo(np.int64).max, numbers[:, 1])
+                bound = np.partition(regrets, n - 2)[n - 2] if len(regrets) >= n else regrets.max()
                 under = np.flatnonzero(regrets < bound).tolist()
-                near = under + [i for i in np.flatnonzero(regrets == bound)[: n - 1].tolist()][: max(0, n - 1 - len(under))]
-                for at in sorted(i for i in near if known[i][1] >= 0):
-                    ways = self.n_best(chunks[at], n)
-                    mine = known[at][0]
+                near = sorted(under + np.flatnonzero(regrets == bound)[: n - 1 - len(under)].tolist()) if len(regrets) >= n else range(len(regrets))
+                for at in near:
+                    if numbers[at, 1] < 0:
+                        continue
+                    ways = self.several(chunks[at], n)
+                    mine = int(numbers[at, 0])
                     joined = [(score - mine + w[0], {**picked, at: w[1]} if k else picked) for score, picked in top for k, w in enumerate(ways)]
                     joined.sort(key=lambda x: (-x[0], sorted(x[1])))
                     top = joined[:n]
             own = []
             for score, picked in top:
-                own.append((score, b"".join([picked.get(i, p) for i, p in enumerate(parts)] if picked else parts)))
+                mine = parts
+                if picked:
+                    mine = parts[:]
+                    for at, ids in picked.items():
+                        mine[at] = ids
+                own.append((score, b"".join(mine)))
             out.append(own)
         return out
 
