@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, near_dedup, packing, pieces, quality, toxicity, warc
+from . import chat, exact_dedup, langid, media, near_dedup, packing, pieces, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1,
         "op2_chat_format": chat.op2,
+        "op3_media_jpeg": media.op3,
         "op4_n_best_pieces": pieces.op4,
         "op5_warc_fixity": warc.op5,
         "op6_near_dedup": near_dedup.op6,
