@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.series import KEYS
 
-ORDER = Window.partitionBy(*KEYS).orderBy("idx")
+
+def ordered() -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy("idx")
 
 
 def before(name: str, n: int = 1) -> Column:
-    return F.lag(name, n).over(ORDER)
+    return F.lag(name, n).over(ordered())
 
 
 def after(name: str, n: int = 1) -> Column:
-    return F.lead(name, n).over(ORDER)
+    return F.lead(name, n).over(ordered())
 
 
 def deviation(tp, xp, t, x, ts, xs) -> Column:
@@ -31,7 +33,7 @@ def with_scores(series: DataFrame, window: int = 3, beta: float = 0.5, alpha: fl
     diff = series.withColumn("diff", v - before("value"))
     d = diff.withColumn("d1", F.coalesce(F.abs("diff"), F.lit(0.0))).withColumn("d2", F.coalesce(F.abs(F.col("diff") - before("diff")), F.lit(0.0)))
     d = d.withColumn("d2_abs", F.when(i < 2, 0.0).otherwise(F.abs(F.col("d1") - before("d1"))))
-    d = d.withColumn("energy", F.coalesce(F.avg(F.col("diff") * F.col("diff")).over(ORDER.rowsBetween(-(window - 1), window)), F.lit(0.0)))
+    d = d.withColumn("energy", F.coalesce(F.avg(F.col("diff") * F.col("diff")).over(ordered().rowsBetween(-(window - 1), window)), F.lit(0.0)))
     d = d.withColumn("ie", deviation(before("idx"), before("value"), i, v, after("idx"), after("value")))
     span = after("idx") - before("idx")
     d = d.withColumn("area", 0.5 * span * F.col("ie")).withColumn("span_score", F.col("ie") * F.pow(span.cast("double"), F.lit(beta)))
@@ -39,7 +41,7 @@ def with_scores(series: DataFrame, window: int = 3, beta: float = 0.5, alpha: fl
     left = deviation(before("idx", 2), before("value", 2), before("idx"), before("value"), after("idx"), after("value"))
     right = deviation(before("idx"), before("value"), after("idx"), after("value"), after("idx", 2), after("value", 2))
     d = d.withColumn("lookahead", F.col("ie") + alpha * F.greatest(F.lit(0.0), F.col("ie") - F.least(left, right)))
-    d = d.withColumn("var3", F.when(before("idx").isNotNull() & after("idx").isNotNull(), F.var_pop("value").over(ORDER.rowsBetween(-1, 1))))
+    d = d.withColumn("var3", F.when(before("idx").isNotNull() & after("idx").isNotNull(), F.var_pop("value").over(ordered().rowsBetween(-1, 1))))
     return d.drop("diff")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scores import with_scores
 from ..sources.series import KEYS
 
-WHOLE = Window.partitionBy(*KEYS)
+
+def whole() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
 
 
 def count_kept(n: Column, capacity: int, overload: int) -> Column:
@@ -21,7 +23,7 @@ def count_kept(n: Column, capacity: int, overload: int) -> Column:
 
 def fifo(series: DataFrame, capacity: int, overload: int) -> DataFrame:
     """Drop the oldest when full. Drain j emits max(j - 1, j * overload - capacity); the rest stays at the end."""
-    s = series.withColumn("n", F.count(F.lit(1)).over(WHOLE)).withColumn("drained", F.floor(F.col("n") / overload))
+    s = series.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("drained", F.floor(F.col("n") / overload))
     # place i is emitted by the drain j with max(j - 1, j * overload - capacity) = i
     by_rank, by_age = F.col("idx") + 1, (F.col("idx") + capacity) / overload
     early = (by_rank <= F.col("drained")) & (by_rank * overload - capacity <= F.col("idx"))
@@ -50,8 +52,8 @@ def keep_last(n: Column, budget: Column) -> Column:
 def marked(series: DataFrame, share: int = 4) -> DataFrame:
     """Every sample once per method with ``kept``: stride, linspace, keep_last, and the samples of largest distance from
     the chord (both ends kept); the budget is n div ``share``, two at least."""
-    scored = with_scores(series).withColumn("n", F.count(F.lit(1)).over(WHOLE)).withColumn("budget", F.greatest(F.lit(2), F.floor(F.col("n") / share)))
-    by_score = WHOLE.orderBy(F.when(F.col("ie").isNull(), 0).otherwise(1), F.col("ie").desc(), "idx")
+    scored = with_scores(series).withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("budget", F.greatest(F.lit(2), F.floor(F.col("n") / share)))
+    by_score = whole().orderBy(F.when(F.col("ie").isNull(), 0).otherwise(1), F.col("ie").desc(), "idx")
     n, budget = F.col("n"), F.col("budget")
     rules = {"stride": stride(n, budget), "linspace": linspace(n, budget), "keep_last": keep_last(n, budget), "top_ie": F.row_number().over(by_score) <= budget}
     wide = scored.select(*KEYS, "idx", "value", "n", *[rule.alias(name) for name, rule in rules.items()])
