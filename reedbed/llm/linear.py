@@ -1,8 +1,8 @@
 """Linear models over hashed features, fitted by iterative parameter averaging.
 
 Each round, every partition starts from the current parameters, runs some epochs of Adagrad over its rows
-and returns its parameters; the driver averages them by row count. What returns per round is
-``partitions x parameters`` numbers, whatever the size of the input. (McDonald et al., 2010.)
+and returns the parameters that it moved; Spark sums the moves, weighted by row count. What reaches the driver per
+round is at most one number for each parameter, whatever the input and its partitions. (McDonald et al., 2010.)
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: loss(scores, targets, extras) -> d loss / d score per row, d loss / d extras
 Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -49,6 +50,7 @@ def fit(rows: DataFrame, dim: int, extras: np.ndarray, loss: Loss, rounds: int =
     context = rows.sparkSession.sparkContext
     weights, extras = np.zeros(dim), np.asarray(extras, dtype=np.float64)
     for _ in range(rounds):
+        weights = weights.astype(np.float32).astype(np.float64)
         current = context.broadcast((weights.astype(np.float32), extras))
 
         def part(batches):
@@ -58,13 +60,20 @@ def fit(rows: DataFrame, dim: int, extras: np.ndarray, loss: Loss, rounds: int =
                 own += [(index[i].values.to_numpy().astype(np.int64), value[i].values.to_numpy(), target[i]) for i in range(b.num_rows)]
             if own:
                 w, e = epochs_over(own, *current.value, loss, epochs, rate, l1)
-                yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([w.astype(np.float32).tobytes()]), pa.array([e.tobytes()])], ["n", "w", "e"])
+                step = w - current.value[0]
+                moved = np.flatnonzero(step)
+                # rows below 0: the number of rows, then the extras' steps
+                index = np.concatenate((moved, -1 - np.arange(1 + len(e))))
+                value = np.concatenate((step[moved], [1.0], e - current.value[1])) * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(value)], ["i", "step"])
 
-        found = rows.select("idx", "val", "target").mapInArrow(part, "n long, w binary, e binary").collect()
+        found = rows.select("idx", "val", "target").mapInArrow(part, "i long, step double").groupBy("i").agg(F.sum("step").alias("step")).toArrow()
         current.destroy()
-        total = sum(r.n for r in found)
-        if not total:
+        index, step = found.column("i").to_numpy(), found.column("step").to_numpy()
+        if not len(index):
             break
-        weights = sum(np.frombuffer(r.w, dtype=np.float32).astype(np.float64) * r.n for r in found) / total
-        extras = sum(np.frombuffer(r.e) * r.n for r in found) / total
+        step = step / step[index == -1][0]
+        weights[index[index >= 0]] += step[index >= 0]
+        extras = extras.copy()
+        extras[-2 - index[index < -1]] += step[index < -1]
     return weights, extras
