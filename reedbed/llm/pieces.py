@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .tables import table
 from .tokens import some, vocabulary_path
+from .words import held
 
 MARK = "▁"
 #: Stands for a mark that the text itself holds; the model has no piece with it.
@@ -282,13 +283,8 @@ class Lattice:
         return whole.decode("utf-8", "surrogatepass")[1:]
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
 def lattice(path: str) -> Lattice:
-    if path not in _LATTICES:
-        _LATTICES[path] = Lattice(path)
-    return _LATTICES[path]
+    return held(("lattice", path), lambda: Lattice(path))
 
 
 def segmented(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N_BEST, path: str | None = None) -> DataFrame:

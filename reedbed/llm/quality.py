@@ -23,7 +23,7 @@ from ..checkpoints import cut_lineage
 from . import linear
 from .sampling import held_out, thinned
 from .tables import table
-from .words import WordTable
+from .words import WordTable, held
 
 DIM = 1 << 18
 #: Rated rows that the model is fitted on, at most (about: taken by hash), and the partitions they lie in.
@@ -112,9 +112,6 @@ def train(rated: DataFrame, grades: int, text: str = "text", grade: str = "grade
     return Ordinal(weights, ordered(free))
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def predictor(spark: SparkSession, model: Ordinal, keep_grade: int = KEEP_GRADE, keep_probability: float = KEEP_PROBABILITY):
     """A column function: text -> struct(expected_grade, tail_probability, keep)."""
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
@@ -123,10 +120,7 @@ def predictor(spark: SparkSession, model: Ordinal, keep_grade: int = KEEP_GRADE,
     @F.pandas_udf("expected_grade double, tail_probability double, keep boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = Ordinal(*shared.value)
-        if number not in _TABLES:
-            _TABLES.clear()
-            _TABLES[number] = WordTable(own.of_chunks)
-        sums, counts = _TABLES[number].sums(map(chunks_of, texts))
+        sums, counts = held(("quality", number), lambda: WordTable(own.of_chunks)).sums(map(chunks_of, texts))
         tails = own.tails(sums[:, 0] / np.maximum(counts, 1))
         return pd.DataFrame({"expected_grade": tails.sum(1), "tail_probability": tails[:, keep_grade - 1], "keep": tails[:, keep_grade - 1] >= keep_probability})
 

@@ -14,13 +14,15 @@ import re
 
 import numpy as np
 
+from .words import held
+
 #: White space that separates chunks here; other white space is left to the tokenizer.
 CHUNK = re.compile(r"[^ \n\t\r]+")
 #: The vocabulary's parts of a text, for lower-cased Latin-1 characters.
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: Characters that PART holds for: printable Latin-1 and plain white space, without the no-break space.
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
-LIMIT = 700_000
+LIMIT = 400_000
 ID = np.dtype("<u4")
 
 
@@ -87,14 +89,9 @@ def plain(text: str) -> bool:
         return False
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def some(items: list, size: int):

@@ -17,8 +17,20 @@ LETTERS = re.compile(r"[^\W\d_]+")
 WORDS = re.compile(r"\w+")
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """A worker's cache under ``key``. A worker holds one cache at a time: workers live on from stage to stage, and the
+    caches of different models would add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordTable(dict):
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 250_000):
         super().__init__()
         self.compute, self.limit = compute, limit
         self.pending: list[str] = []
