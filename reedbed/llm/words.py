@@ -15,6 +15,8 @@ import numpy as np
 
 LETTERS = re.compile(r"[^\W\d_]+")
 WORDS = re.compile(r"\w+")
+#: Words summed at once, and new words whose values are computed at once.
+RUN, FILL = 1 << 18, 1 << 13
 
 
 _HELD: dict[object, object] = {}
@@ -43,30 +45,40 @@ class WordTable(dict):
         return row
 
     def sums(self, texts: Iterable[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: the sum of its words' rows, and how many words it has."""
+        """Per text: the sum of its words' rows, and how many words it has. Texts are summed in runs of about ``RUN``
+        words, and the table is emptied between runs, so the memory does not grow with the batch."""
+        found, counts, index, own = [], [], array("i"), []
+        for words in texts:
+            index.extend(map(self.__getitem__, words))
+            own.append(len(words))
+            if len(index) >= RUN:
+                found.append(self._sum(index, own))
+                counts += own
+                index, own = array("i"), []
+        found.append(self._sum(index, own))
+        width = max(f.shape[1] for f in found)
+        return np.concatenate([np.pad(f, ((0, 0), (0, width - f.shape[1]))) for f in found]), np.array(counts + own, dtype=np.int64)
+
+    def _sum(self, index: array, counts: list[int]) -> np.ndarray:
+        for at in range(0, len(self.pending), FILL):
+            self._fill(self.pending[at : at + FILL])
+        self.pending = []
+        out = segment_sums(self.rows, np.frombuffer(index, dtype=np.int32), np.array(counts, dtype=np.int64))
         if len(self) > self.limit:
             self.clear()
             self.filled = 0
-        index, counts = array("i"), []
-        for words in texts:
-            index.extend(map(self.__getitem__, words))
-            counts.append(len(words))
-        if self.pending:
-            self._fill()
-        counts = np.array(counts, dtype=np.int64)
-        return segment_sums(self.rows, np.frombuffer(index, dtype=np.int32), counts), counts
-
-    def _fill(self) -> None:
-        new = np.asarray(self.compute(self.pending), dtype=np.float64).reshape(len(self.pending), -1)
+        return out
+
+    def _fill(self, words: list[str]) -> None:
+        new = np.asarray(self.compute(words), dtype=np.float64).reshape(len(words), -1)
         need = self.filled + len(new)
         if self.rows is None or need > len(self.rows):
-            grown = np.zeros((max(1024, 2 * need), new.shape[1]))
+            grown = np.zeros((max(1024, 3 * need // 2), new.shape[1]))
             if self.rows is not None:
                 grown[: self.filled] = self.rows[: self.filled]
             self.rows = grown
         self.rows[self.filled : need] = new
         self.filled = need
-        self.pending = []
 
 
 def segment_sums(rows: np.ndarray | None, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
