@@ -69,25 +69,41 @@ def energy(x: np.ndarray, window: int) -> np.ndarray:
     return np.where(high > low, (squares[high] - squares[low]) / np.maximum(high - low, 1), 0.0)
 
 
+class Buffer:
+    """At most ``capacity`` samples; when full, the one of least importance goes before a new one comes. Its fields are
+    all of its state, so that a stream can keep them between batches."""
+
+    def __init__(self, capacity: int, overload: int, policy: str, places=(), values=(), arrived: int = 0, **options):
+        self.capacity, self.overload, self.policy, self.options = capacity, overload, policy, options
+        self.places, self.values, self.arrived = list(places), list(values), arrived
+
+    def victim(self) -> int:
+        if self.policy == "fifo":
+            return 0
+        if self.policy == "middle":
+            return len(self.places) // 2
+        scores = importance(self.policy, np.array(self.places, dtype=np.float64), np.array(self.values, dtype=np.float64), **self.options)
+        return int(scores.argmin()) if np.isfinite(scores).any() else 0
+
+    def push(self, place: int, value: float) -> tuple[int, float] | None:
+        """Takes a sample; returns the oldest one when it is its turn to leave."""
+        if len(self.places) == self.capacity:
+            at = self.victim()
+            del self.places[at], self.values[at]
+        self.places.append(place)
+        self.values.append(value)
+        self.arrived += 1
+        return (self.places.pop(0), self.values.pop(0)) if self.arrived % self.overload == 0 else None
+
+    def rest(self) -> list[tuple[int, float]]:
+        return list(zip(self.places, self.values, strict=True))
+
+
 def bounded_places(x: np.ndarray, capacity: int, overload: int, policy: str, **options) -> list[int]:
     """Places that leave the buffer alive: drained ones in order, then what is left."""
-    held: list[int] = []
-    out: list[int] = []
-    for i in range(len(x)):
-        if len(held) == capacity:
-            if policy == "fifo":
-                victim = 0
-            elif policy == "middle":
-                victim = len(held) // 2
-            else:
-                t = np.array(held)
-                scores = importance(policy, t.astype(np.float64), x[t], **options)
-                victim = int(scores.argmin()) if np.isfinite(scores).any() else 0
-            held.pop(victim)
-        held.append(i)
-        if (i + 1) % overload == 0:
-            out.append(held.pop(0))
-    return out + held
+    buffer = Buffer(capacity, overload, policy, **options)
+    out = [left[0] for i, v in enumerate(x.tolist()) if (left := buffer.push(i, v)) is not None]
+    return out + buffer.places
 
 
 def greedy_places(x: np.ndarray, target: int, area: bool = False) -> list[int]:
@@ -152,16 +168,31 @@ def door_places(x: np.ndarray, tolerance: float) -> list[int]:
     return out if out[-1] == n - 1 else [*out, n - 1]
 
 
-def door_within(x: np.ndarray, target: int, halvings: int = 50) -> list[int]:
-    """The door of least tolerance, by bisection, that keeps at most ``target`` samples."""
+def piece_places(x: np.ndarray, tolerance: float) -> list[int]:
+    """Greedy segments: store the sample before the one whose chord from the last stored sample leaves a sample between
+    them farther than ``tolerance``; both ends are kept."""
+    n = len(x)
+    if n < 3:
+        return list(range(n))
+    out = [0]
+    for i in range(2, n):
+        at = out[-1]
+        between = np.arange(at + 1, i)
+        if len(between) and np.abs(x[between] - (x[at] + (between - at) / (i - at) * (x[i] - x[at]))).max() > tolerance:
+            out.append(i - 1)
+    return out if out[-1] == n - 1 else [*out, n - 1]
+
+
+def within(x: np.ndarray, target: int, places, halvings: int = 50) -> list[int]:
+    """The run of ``places(x, tolerance)`` of least tolerance, by bisection, that keeps at most ``target`` samples."""
     low, high = 0.0, float(x.max() - x.min()) + 1e-9 if len(x) else 0.0
     for _ in range(halvings):
         middle = (low + high) / 2
-        if len(door_places(x, middle)) <= target:
+        if len(places(x, middle)) <= target:
             high = middle
         else:
             low = middle
-    return door_places(x, high)
+    return places(x, high)
 
 
 def folded(series: DataFrame, places) -> DataFrame:
@@ -187,4 +218,21 @@ def lttb(series: DataFrame, share: int) -> DataFrame:
 
 
 def swinging_door(series: DataFrame, share: int) -> DataFrame:
-    return folded(series, lambda x: door_within(x, max(2, len(x) // share)))
+    return folded(series, lambda x: within(x, max(2, len(x) // share), door_places))
+
+
+def piecewise(series: DataFrame, share: int) -> DataFrame:
+    return folded(series, lambda x: within(x, max(2, len(x) // share), piece_places))
+
+
+def swept(series: DataFrame, configs: list[dict]) -> DataFrame:
+    """Survivors of ``bounded`` under each of ``configs`` (its keyword arguments), with ``config``, the place in the list.
+    One shuffle for the whole sweep: a segment meets all configurations in the task that holds it."""
+
+    def keep(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("idx")
+        x = own["value"].to_numpy()
+        parts = [own.iloc[sorted(bounded_places(x, **c))][[*KEYS, "idx", "value"]].assign(config=i) for i, c in enumerate(configs)]
+        return pd.concat(parts, ignore_index=True)
+
+    return series.select(*KEYS, "idx", "value").groupBy(*KEYS).applyInPandas(keep, f"{SCHEMA}, config int")

@@ -60,7 +60,7 @@ def test_door_keeps_within_tolerance():
     x = np.cumsum(np.random.default_rng(9).normal(size=200))
     kept = folds.door_places(x, 0.8)
     assert np.abs(np.interp(np.arange(200), kept, x[kept]) - x).max() <= 2 * 0.8 + 1e-9
-    assert len(folds.door_within(x, 20)) <= 20
+    assert len(folds.within(x, 20, folds.door_places)) <= 20
     assert len(folds.lttb_places(x, 20)) == 20
 
 

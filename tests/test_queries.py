@@ -1,12 +1,13 @@
 import pytest
 
-from reedbed.plans import registry
+from reedbed.plans import registry, reports
 from tests.oracle import difference
 
 SF = "/root/testdata/sf0.001"
-SQL = registry.oracle_sql()
+QUERIES = registry.queries() | reports.queries()
+SQL = registry.oracle_sql() | reports.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, name):
-    assert not difference(spark, registry.queries()[name], SQL[name], SF)
+    assert not difference(spark, QUERIES[name], SQL[name], SF)
