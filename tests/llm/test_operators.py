@@ -94,6 +94,38 @@ def test_near_classes_equal_brute_force(spark):
     assert sum(r.kept for r in got) == len({root(i) for i in ids})
 
 
+def planted(kind, pairs, seed):
+    """Texts of (doc_id, text): rows 2 i and 2 i + 1 are a pair of word edit similarity 0.8 or a little more."""
+    rng, rows = np.random.default_rng(seed), []
+    word = lambda: f"w{rng.integers(20_000)}"
+    passage = [word() for _ in range(60)]
+    for i in range(pairs):
+        if kind == "scattered":
+            a = [word() for _ in range(int(rng.integers(60, 200)))]
+            open_, changes = np.arange(len(a)), len(a) // 5
+        elif kind == "short":
+            a = [word() for _ in range(int(rng.integers(5, 25)))]
+            open_, changes = np.arange(len(a)), len(a) // 5
+        else:
+            a = passage + [word() for _ in range(40)]
+            open_, changes = np.arange(60, 100), 15
+        b = list(a)
+        for at in rng.choice(open_, changes, replace=False):
+            b[at] = word()
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["scattered", "short", "passage"])
+def test_near_recall_of_planted_pairs(spark, kind):
+    rows = planted(kind, 150, 3)
+    words = [near_dedup.word_hashes(t) for _, t in rows]
+    true = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near_dedup.distances([(words[i], words[j])])[0] is not None}
+    assert true >= {(2 * i, 2 * i + 1) for i in range(150)}
+    label = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(label[i] == label[j] for i, j in true) >= 0.98 * len(true)
+
+
 def test_near_odd_rows(odd, none):
     got = near_dedup.near_classes(odd).collect()
     assert len(got) == len(ODD) and sum(r.kept for r in got) == len({r.class_id for r in got})
