@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.series import KEYS
@@ -48,6 +48,18 @@ def spectrum(series: DataFrame, size: int = 64) -> DataFrame:
     return g.select(*KEYS, "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
 
 
+def spectrum_of_blocks(series: DataFrame, size: int = 512) -> DataFrame:
+    """(keys, block, n, k, mag): magnitudes of the first n / 2 bins of each block of ``size`` samples, n being its own
+    number of samples: the last block of a series is shorter. Block 0 alone is the form of min(N, size) samples, which the
+    reference takes. A window holds at most ``size`` samples."""
+    blocks = series.select(*KEYS, F.floor(F.col("idx") / size).alias("block"), (F.col("idx") % size).alias("at"), "value")
+    own = blocks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "block"))).filter("n > 1")
+    bins = own.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int") - 1)).alias("k"))
+    angle = F.lit(2 * math.pi) / F.col("n") * ((F.col("k") * F.col("at")) % F.col("n"))
+    g = bins.groupBy(*KEYS, "block", "n", "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
+    return g.select(*KEYS, "block", "n", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
+
+
 def features(series: DataFrame, width: int) -> DataFrame:
     """Per window of ``width`` samples (a shorter rest is dropped): mean, deviation, rms, kurtosis, crest."""
     v = F.col("value")

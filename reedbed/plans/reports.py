@@ -37,6 +37,36 @@ def _bin_errors(spark, d):
     return signals.bin_errors(own, other)
 
 
+def _two_spectra(spark, d):
+    """Spectra of blocks of the series (a) and of its reconstruction by top_ie (b), bin by bin."""
+    r = rebuild.rebuilt(_marked(spark, d)).filter("method = 'top_ie'")
+    own, other = (classify.spectrum_of_blocks(r.select(*KEYS, "idx", F.col(c).alias("value"))).withColumnRenamed("mag", n) for c, n in (("value", "a"), ("recon", "b")))
+    return own.join(other, [*KEYS, "block", "n", "k"])
+
+
+def _correlation_of_blocks(spark, d):
+    g = _two_spectra(spark, d).groupBy(*KEYS, "block", "n").agg(F.corr("a", "b").alias("r"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
+    return g.select(*KEYS, "block", "n", F.when((F.col("sa") > 1e-12) & (F.col("sb") > 1e-12), F.round("r", 6)).alias("spectral_corr"))
+
+
+def _errors_of_blocks(spark, d):
+    error = F.abs(F.col("a") - F.col("b"))
+    return _two_spectra(spark, d).select(*KEYS, "block", "n", "k", error.alias("abs_error"), F.when(F.col("a") > 1e-10, error / F.col("a")).otherwise(0.0).alias("rel_error"))
+
+
+def _sums_of_blocks(spark, d):
+    whole = classify.spectrum_of_blocks(read_samples(spark, d))
+    return whole.groupBy(*KEYS, "block", "n", F.floor(F.col("k") / 4).alias("band")).agg(F.sum("mag").alias("total"))
+
+
+#: Each as the whole signal (blocks of 512 samples and the shorter rest) and as its first min(N, 512) samples.
+_BLOCKS = {"spectrum": lambda k, d: classify.spectrum_of_blocks(read_samples(k, d)), "spectral_correlation": _correlation_of_blocks, "bin_errors": _errors_of_blocks, "band_sums": _sums_of_blocks}
+
+
+def _blocks(name, first):
+    return lambda k, d: rounded(_BLOCKS[name](k, d).filter("block = 0").drop("block") if first else _BLOCKS[name](k, d))
+
+
 def _peak_scores(spark, d):
     """Peaks of the rebuilt series against those of the series itself, by method."""
     marked = _marked(spark, d)
@@ -86,16 +116,30 @@ def queries() -> dict:
         "piecewise_linear": lambda k, d: folds.piecewise(s(k, d), 4),
         "span_sweep": _sweep,
         "stream_bounded_interp": lambda k, d: bounded.replayed(s(k, d), 8, 3),
-    }
+    } | {f"{name}_{form}": _blocks(name, form == "512") for name in _BLOCKS for form in ("whole", "512")}
 
 
 _P = "p AS (SELECT signal_id, segment, method, round(ratio, 6) AS ratio, round(mse, 6) AS mse FROM mt)"
 _F = "f AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.signal_id = a.signal_id AND b.segment = a.segment AND b.ratio >= a.ratio AND b.mse <= a.mse AND (b.ratio > a.ratio OR b.mse < a.mse)))"
 _B = """bd AS (SELECT method, snr_db, CASE WHEN ratio > 1 AND ratio <= 3 THEN 0 WHEN ratio > 3 AND ratio <= 4 THEN 1 WHEN ratio > 4 AND ratio <= 5 THEN 2 WHEN ratio > 5 AND ratio <= 10 THEN 3 END AS band FROM mt WHERE snr_db IS NOT NULL),
  cv AS (SELECT method, band, count(*) AS n, avg(snr_db) AS mean, quantile_cont(snr_db, 0.5) AS median FROM bd WHERE band IS NOT NULL GROUP BY ALL)"""
+_DFT = """(WITH z AS (SELECT signal_id, segment, idx // 512 AS block, idx % 512 AS place, {v} AS v, count(*) OVER (PARTITION BY signal_id, segment, idx // 512) AS n FROM {t})
+ SELECT signal_id, segment, block, n, k::INT AS k, sqrt(pow(sum(v * cos(2 * pi() / n * ((k * place) % n))), 2) + pow(sum(v * sin(2 * pi() / n * ((k * place) % n))), 2)) AS mag FROM z, range(256) r(k) WHERE k < n // 2 GROUP BY ALL)"""
 _BYM = "PARTITION BY signal_id, segment, method"
 
 
+def _blocks_sql() -> dict[str, str]:
+    own, two = _DFT.format(v="value", t="s"), f"{_BASE}, top AS (SELECT * FROM rc WHERE method = 'top_ie'), fa AS {_DFT.format(v='value', t='top')}, fb AS {_DFT.format(v='recon', t='top')}"
+    join = "FROM fa JOIN fb USING (signal_id, segment, block, n, k)"
+    whole = {
+        "spectrum": f"WITH {_S}, f AS {own} SELECT signal_id, segment, block, n, k, round(mag, 6) AS mag FROM f",
+        "spectral_correlation": f"{two} SELECT signal_id, segment, block, n, CASE WHEN stddev_pop(fa.mag) > 1e-12 AND stddev_pop(fb.mag) > 1e-12 THEN round(corr(fa.mag, fb.mag), 6) END AS spectral_corr {join} GROUP BY ALL",
+        "bin_errors": f"{two} SELECT signal_id, segment, block, n, k, round(abs(fa.mag - fb.mag), 6) AS abs_error, round(CASE WHEN fa.mag > 1e-10 THEN abs(fa.mag - fb.mag) / fa.mag ELSE 0 END, 6) AS rel_error {join}",
+        "band_sums": f"WITH {_S}, f AS {own} SELECT signal_id, segment, block, n, k // 4 AS band, round(sum(mag), 6) AS total FROM f GROUP BY ALL",
+    }
+    return {f"{k}_whole": v for k, v in whole.items()} | {f"{k}_512": f"SELECT * EXCLUDE (block) FROM ({v}) WHERE block = 0" for k, v in whole.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     pivot = ", ".join(f"round(avg(mse) FILTER (method = '{m}'), 6) AS {m}_mean, round(quantile_cont(mse, 0.5) FILTER (method = '{m}'), 6) AS {m}_median" for m in NAMES)
     return {
@@ -135,4 +179,4 @@ def oracle_sql() -> dict[str, str]:
         "standardised": """WITH x AS (SELECT vec_id, d::INT - 1 AS dim, embedding[d]::DOUBLE AS x FROM embeddings, range(1, 65) t(d)), g AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY dim)
  SELECT vec_id, dim, round(CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END, 6) AS z FROM x JOIN g USING (dim)""",
         "gap_counts": f"WITH {_S}, {_N}, {_M}, {_GAPS} SELECT method, gap, count(*) AS n FROM g GROUP BY ALL",
-    }
+    } | _blocks_sql()

@@ -3,7 +3,7 @@ import time
 import numpy as np
 import pandas as pd
 
-from reedbed.operators import folds, peaks, results
+from reedbed.operators import classify, folds, peaks, results
 from reedbed.plans import reports
 from reedbed.sources.series import KEYS, read_samples
 from reedbed.streaming import bounded
@@ -110,3 +110,12 @@ def test_replay_equals_batch(spark):
 def test_peak_scores_are_whole(spark):
     got = reports.queries()["peak_scores"](spark, SF).toPandas()
     assert set(got["method"]) == set(reports.NAMES) and got["f1"].dropna().between(0, 1).all()
+
+
+def test_spectrum_reads_every_sample(spark):
+    rows = [("long", 0, i, float((i * 7) % 11)) for i in range(1034)] + [("short", 0, i, float(i)) for i in range(5)]
+    got = classify.spectrum_of_blocks(spark.createDataFrame(rows, "signal_id string, segment long, idx long, value double")).collect()
+    for name, block, n in (("long", 0, 512), ("long", 1, 512), ("long", 2, 10), ("short", 0, 5)):
+        values = [v for s, _, i, v in rows if s == name and i // 512 == block]
+        mags = [r.mag for r in sorted((r for r in got if (r.signal_id, r.block) == (name, block)), key=lambda r: r.k)]
+        assert len(values) == n and np.allclose(mags, np.abs(np.fft.fft(values))[: n // 2], atol=1e-6)
