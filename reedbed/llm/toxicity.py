@@ -65,8 +65,8 @@ def text_features(text: str | None) -> dict[int, int]:
 
 def pattern_votes(text: str | None) -> list[bool]:
     t = text or ""
-    letters = sum(map(str.isalpha, t[:4000]))
-    return [len(_SIGNS.findall(t)) > 0.02 * len(t), sum(map(str.isupper, t[:4000])) > 0.3 * max(1, letters), t.count("!") > 0.01 * len(t)]
+    letters = sum(map(str.isalpha, t))
+    return [len(_SIGNS.findall(t)) > 0.02 * len(t), sum(map(str.isupper, t)) > 0.3 * max(1, letters), t.count("!") > 0.01 * len(t)]
 
 
 @dataclass

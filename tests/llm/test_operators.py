@@ -215,6 +215,11 @@ def test_quality_and_toxicity(spark, odd, none):
     assert toxicity.score(odd, model).where("toxicity between 0 and 1").count() == len(ODD)
 
 
+def test_shouting_is_counted_over_the_whole_text():
+    assert toxicity.pattern_votes("quiet words " * 400 + "LOUD WORDS " * 2000)[1]
+    assert not toxicity.pattern_votes("LOUD WORDS " * 400 + "quiet words " * 2000)[1]
+
+
 def test_roles(spark):
     got = chat.op2(spark, SF).toPandas()
     assert (got["roles"] == got["true_roles"]).mean() > 0.9
