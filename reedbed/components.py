@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import written
+from .checkpoints import discard, written
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, label) for every node of a link; the label is the smallest node of its component.
 
     Smallest labels spread over links and then over labels (pointer jumping), so rounds grow with the logarithm of
-    the longest chain. Every round is a written table; nothing but one number returns to the driver.
+    the longest chain. Every round is a written table, removed when the next one stands; nothing but one number returns to the driver.
     """
-    both = written(links.select(F.col(left).alias("u"), F.col(right).alias("v")).union(links.select(F.col(right), F.col(left))).filter("u <> v").distinct())
-    labels = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v"))
+    both = written(pairs.union(pairs.select("v", "u")).filter("u <> v").distinct())
+    start = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    labels = start
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["node"] == near["u"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("higher"))
         jumped = written(spread.join(up, spread["label"] == up["up"], "left").select("node", "old", F.least("label", "higher").alias("label")))
         changed = jumped.filter("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
+        discard(start)
+        start, labels = jumped, jumped.select("node", "label")
         if not changed:
+            discard(both)
             return labels
