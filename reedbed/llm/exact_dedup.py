@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 #: The characters that normalisation deletes (0x20 and 0x09 to 0x0D).
 SPACES = " \t\n\x0b\x0c\r"
-#: Ranges for each shuffle partition, and at most in all (this bounds the splitters in the plan).
+#: Ranges for each shuffle partition, and rows of a range (there are more ranges if there are more rows).
 RANGES_PER_PARTITION = 4
-MOST_RANGES = 4096
+ROWS_PER_RANGE = 1_000_000
 SAMPLES_PER_RANGE = 24
 #: Characters of a text, and of text and digest, at the front of a key.
 HEAD = 48
@@ -37,16 +37,16 @@ def sort_key(text: Column, doc_id: Column) -> Column:
     )
 
 
-def splitters(keys: DataFrame, ranges: int) -> tuple[list[str], list[str]]:
-    """At most ``ranges - 1`` sampled keys at even places, and the groups that hold two or more of them.
+def splitters(rows: DataFrame, ranges: int, total: int) -> tuple[list[str], list[str]]:
+    """At most ``ranges - 1`` sampled keys of (t, i) at even places, and the groups that hold two or more of them.
 
     A splitter that is alone in its group is moved to the group's start, so only those groups are ever divided.
-    The sample's size follows ``ranges``, not the rows.
+    The sample's size follows ``ranges``; rows are sampled before their keys are computed, in one job.
     """
-    rows = keys.count() if ranges > 1 else 0
-    if not rows:
+    if ranges < 2 or not total:
         return [], []
-    sample = sorted(r[0] for r in keys.sample(False, min(1.0, ranges * SAMPLES_PER_RANGE / rows), seed=11).toLocalIterator())
+    sampled = rows.sample(False, min(1.0, ranges * SAMPLES_PER_RANGE / total), seed=11)
+    sample = sorted(r[0] for r in sampled.select(sort_key(F.col("t"), F.col("i")).alias("k")).collect())
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     groups = [c[:GROUP] for c in cuts]
     large = sorted({g for g, h in zip(groups, groups[1:], strict=False) if g == h})
@@ -73,12 +73,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ran
     (repeated rows) exactly one stays. A null text counts as empty. Empty input gives an empty result. ``exact``
     replaces a column of that name; all other columns pass as they are, whatever their names.
     """
+    total = docs.count()
     if ranges is None:
-        ranges = RANGES_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(RANGES_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ROWS_PER_RANGE)
     own = [c for c in docs.columns if c != "exact"]
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[text].alias("t"), docs[doc_id].cast("long").alias("i"))
     keyed = rows.select("row", "i", sort_key(F.col("t"), F.col("i")).alias("k"))
-    cuts, large = splitters(rows.select(sort_key(F.col("t"), F.col("i")).alias("k")), max(1, min(MOST_RANGES, ranges)))
+    cuts, large = splitters(rows.select("t", "i"), ranges, total)
 
     dealt = keyed.select("row", "i", "k", range_of(F.col("k"), cuts).alias("at"))
     order = Window.partitionBy("at").orderBy("k")
