@@ -21,6 +21,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import table
 from .tokens import some, vocabulary_path
@@ -45,6 +46,7 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.model = model
+        self.spelled: list[bytes] = []
         self.bytes = {}
         plain = []
         for i in range(size):
@@ -178,20 +180,26 @@ class Lattice:
         return forward[-1], -1 if second is None else forward[-1] - second, np.array(flat, dtype="<u4").tobytes()
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, bytes]]:
-        """The ``n`` best (score, ids) by A-star from the end; equal scores in order of their piece starts."""
+        """The ``n`` best (score, ids) by A-star from the end; equal scores in the order in which they are reached."""
         edges = self.edges(chunk)
         forward = [0] * len(edges)
         for end in range(1, len(edges)):
             forward[end] = max(forward[e[0]] + e[1] for e in edges[end])
-        heap = [(-forward[-1], (), len(edges) - 1, 0, ())]
-        out: list[tuple[int, bytes]] = []
+        # cost, node, number; of equal costs the nearest to the start first. A path is its last piece and the path behind it.
+        heap = [(-forward[-1], len(edges) - 1, 0, 0, None)]
+        made, out = 0, []
         while heap and len(out) < n:
-            cost, path, node, done, ids = heapq.heappop(heap)
+            cost, node, _, done, path = heapq.heappop(heap)
             if not node:
+                ids: list[int] = []
+                while path is not None:
+                    own, path = path
+                    ids.extend(own)
                 out.append((-cost, np.array(ids, dtype="<u4").tobytes()))
                 continue
             for start, score, own in edges[node]:
-                heapq.heappush(heap, (-(done + score + forward[start]), (start, *path), start, done + score, own + ids))
+                made += 1
+                heapq.heappush(heap, (-(done + score + forward[start]), start, made, done + score, (own, path)))
         return out
 
     def cut(self, chunk: str) -> list[str]:
@@ -231,10 +239,17 @@ class Lattice:
         self.numbers = np.concatenate((self.numbers, np.array(numbers, dtype=np.int64)))
 
     def several(self, chunk: str, n: int) -> list[tuple[int, bytes]]:
+        """The ``n`` best of a chunk: searched in its parts of smallest regret, joined in order of score."""
         if len(self.ways) > LIMIT // 10:
             self.ways.clear()
         if (chunk, n) not in self.ways:
-            self.ways[chunk, n] = self.n_best(chunk, n)
+            parts = [] if MARK in chunk or OWN_MARK in chunk else self.cut(chunk)
+            if len(parts) > 1:
+                known = [self.segments.get(s) or self.best(s.replace(MARK, " ")) for s in parts]
+                numbers = np.array([k[:2] for k in known], dtype=np.int64)
+                self.ways[chunk, n] = joined(numbers, [k[2] for k in known], lambda at: self.n_best(parts[at].replace(MARK, " "), n), n)
+            else:
+                self.ways[chunk, n] = self.n_best(chunk, n)
         return self.ways[chunk, n]
 
     def segment(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[int, bytes]]]:
@@ -246,41 +261,50 @@ class Lattice:
         out = []
         for chunks in split:
             index = list(map(self.index.__getitem__, chunks))
-            parts = list(map(self.ids.__getitem__, index))
             numbers = self.numbers[index] if index else np.zeros((0, 2), dtype=np.int64)
-            top = [(int(numbers[:, 0].sum()), {})]
-            if n > 1 and index:
-                # the chunks of smallest regret, of equal regrets the earlier ones: only these can deviate
-                regrets = np.where(numbers[:, 1] < 0, np.iinfo(np.int64).max, numbers[:, 1])
-                bound = np.partition(regrets, n - 2)[n - 2] if len(regrets) >= n else regrets.max()
-                under = np.flatnonzero(regrets < bound).tolist()
-                near = sorted(under + np.flatnonzero(regrets == bound)[: n - 1 - len(under)].tolist()) if len(regrets) >= n else range(len(regrets))
-                for at in near:
-                    if numbers[at, 1] < 0:
-                        continue
-                    ways = self.several(chunks[at], n)
-                    mine = int(numbers[at, 0])
-                    joined = [(score - mine + w[0], {**picked, at: w[1]} if k else picked) for score, picked in top for k, w in enumerate(ways)]
-                    joined.sort(key=lambda x: (-x[0], sorted(x[1])))
-                    top = joined[:n]
-            own = []
-            for score, picked in top:
-                mine = parts
-                if picked:
-                    mine = parts[:]
-                    for at, ids in picked.items():
-                        mine[at] = ids
-                own.append((score, b"".join(mine)))
-            out.append(own)
+            out.append(joined(numbers, list(map(self.ids.__getitem__, index)), lambda at, own=chunks: self.several(own[at], n), n))
         return out
 
+    def spelling(self, ids: bytes) -> bytes:
+        """UTF-8 of a segmentation, with the space before the text."""
+        if not self.spelled:
+            self.spelled = [self.model.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.model.get_piece_size())]
+            for b, i in self.bytes.items():
+                self.spelled[i] = bytes([b])
+        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
     def decode(self, ids: bytes) -> str:
         """The text of a segmentation, whichever it is."""
-        whole = bytearray()
-        spelled = {i: b for b, i in self.bytes.items()}
-        for i in np.frombuffer(ids, dtype="<u4").tolist():
-            whole += bytes([spelled[i]]) if i in spelled else self.model.id_to_piece(i).replace(MARK, " ").encode()
-        return whole.decode("utf-8", "surrogatepass")[1:]
+        return self.spelling(ids).decode("utf-8", "surrogatepass")[1:]
+
+
+def joined(numbers: np.ndarray, parts: list[bytes], ways, n: int) -> list[tuple[int, bytes]]:
+    """The ``n`` best of a chain of parts with the (score, regret) and ids of their best segmentations; ``ways`` gives a
+    part's own ``n`` best. Only the parts of smallest regret, of equal regrets the earlier ones, can deviate."""
+    top = [(int(numbers[:, 0].sum()), {})]
+    if n > 1 and parts:
+        regrets = np.where(numbers[:, 1] < 0, np.iinfo(np.int64).max, numbers[:, 1])
+        near = range(len(regrets))
+        if len(regrets) >= n:
+            bound = np.partition(regrets, n - 2)[n - 2]
+            under = np.flatnonzero(regrets < bound).tolist()
+            near = sorted(under + np.flatnonzero(regrets == bound)[: n - 1 - len(under)].tolist())
+        for at in near:
+            if numbers[at, 1] < 0:
+                continue
+            mine = int(numbers[at, 0])
+            found = [(score - mine + w[0], {**picked, at: w[1]} if k else picked) for score, picked in top for k, w in enumerate(ways(at))]
+            found.sort(key=lambda x: (-x[0], sorted(x[1])))
+            top = found[:n]
+    out = []
+    for score, picked in top:
+        mine = parts
+        if picked:
+            mine = parts[:]
+            for at, ids in picked.items():
+                mine[at] = ids
+        out.append((score, b"".join(mine)))
+    return out
 
 
 def lattice(path: str) -> Lattice:
@@ -304,17 +328,37 @@ def segmented(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     return docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")).mapInArrow(cut, "doc_id long, scores array<long>, segmentations array<binary>")
 
 
+def decoded(segmentations: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and the texts of the arrays of ids in (doc_id, segmentations); a null array gives null, an empty
+    segmentation the empty text. Ids that the model lacks fail."""
+    where = path or vocabulary_path("piece_bpe_32k.model")
+
+    def spell(batches):
+        for b in batches:
+            own = lattice(where)
+            texts = [None if s is None else [own.decode(i) for i in s] for s in b.column("segmentations").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "texts"])
+
+    return segmentations.select(F.col("doc_id").cast("long").alias("doc_id"), "segmentations").mapInArrow(spell, "doc_id long, texts array<string>")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_pieces of the best segmentation; scores, digests and whether they decode to the text, for each of the best."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     where = vocabulary_path("piece_bpe_32k.model")
 
     def digest(batches):
         for b in batches:
             for names, texts in zip(some(b.column("doc_id").to_pylist(), 256), some(b.column("text").to_pylist(), 256), strict=True):
-                found = lattice(where).segment(texts)
+                own = lattice(where)
+                found = own.segment(texts)
+                whole = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array([len(f[0][1]) // 4 for f in found], pa.int64()), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64()))],
-                    ["doc_id", "n_pieces", "scores", "ids_crc32"],
+                    [
+                        pa.array(names, pa.int64()), pa.array([len(f[0][1]) // 4 for f in found], pa.int64()), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64())),
+                        pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64())), pa.array([all(own.spelling(i) == w for _, i in f) for f, w in zip(found, whole, strict=True)], pa.bool_()),
+                    ],
+                    ["doc_id", "n_pieces", "scores", "ids_crc32", "round_trip"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_pieces long, scores array<long>, ids_crc32 array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, n_pieces long, scores array<long>, ids_crc32 array<long>, round_trip boolean")

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -191,9 +192,36 @@ def test_segmentation_equals_all_paths(odd, none):
     for text in ["the cat", "hello", "ab  c", "é ñ", "a▁b x", "🙂 ok", "aa aa aa"]:
         got = lattice.segment([text], 5)[0]
         assert [s for s, _ in got] == scores(text)[:5] and all(lattice.decode(i) == text for _, i in got)
+    back = pieces.decoded(pieces.segmented(odd)).collect()
+    assert sorted({t for r in back for t in r.texts}) == sorted({t or "" for _, t, *_ in ODD})
     assert pieces.segmented(odd).count() == len(ODD) and pieces.segmented(none).count() == 0
 
 
+def test_fast_path_equals_slow_path():
+    lattice = pieces.lattice(tokens.vocabulary_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    by_length = {}
+    for _ in range(400):
+        s = "".join(rng.choice(list("etaoinshrd"), int(rng.integers(1, 40))))
+        by_length.setdefault(len(s), []).append(s)
+    for own in by_length.values():
+        for s, (score, regret, ids) in zip(own, lattice.best_of_many(own), strict=True):
+            slow = lattice.best(s)
+            assert (score, regret) == slow[:2] and lattice.spelling(ids) == lattice.spelling(slow[2]) == s.encode()
+
+
+def test_long_text_without_spaces():
+    lattice = pieces.lattice(tokens.vocabulary_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    start = time.time()
+    got = lattice.segment([text], 3)[0]
+    assert time.time() - start < 30 and len(got) == 3 and all(lattice.decode(i) == text for _, i in got)
+    # the parts' joined lists are those of one search over the whole chunk
+    short = " " + text[:300]
+    assert [s for s, _ in lattice.segment([short[1:]], 4)[0]] == [s for s, _ in lattice.n_best(short, 4)]
+
+
 def test_language(spark, odd, none):
     got = langid.op9(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97 and got["score"].between(0, 1).all() and got["accepted"].mean() > 0.98
