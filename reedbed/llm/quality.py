@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut_lineage
 from . import linear
 from .sampling import held_out, thinned
-from .tables import table
+from .tables import added, table
 from .words import WordTable, held
 
 DIM = 1 << 18
@@ -129,8 +129,9 @@ def predictor(spark: SparkSession, model: Ordinal, keep_grade: int = KEEP_GRADE,
 
 def grade(docs: DataFrame, model: Ordinal, text: str = "text", out: str = "quality", **rule) -> DataFrame:
     """``docs`` with a struct ``out``: expected_grade, tail_probability, keep. A null or empty text has score 0, so its
-    probabilities follow from the thresholds alone. Repeated rows and other columns pass as they are."""
-    return docs.withColumn(out, predictor(docs.sparkSession, model, **rule)(docs[text]))
+    probabilities follow from the thresholds alone. Repeated rows and other columns pass as they are; a column named ``out`` is
+    refused."""
+    return added(docs, out, predictor(docs.sparkSession, model, **rule)(docs[text]))
 
 
 #: Grades of the labels table: 0 poor, 1 sound but toxic, 2 sound and clean.
@@ -138,8 +139,10 @@ GRADES = 3
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows that are not held out, with their grade; labels without a quality give none."""
-    own = labels.select(labels["doc_id"].alias("l_id"), F.when(labels["quality"] == 0, 0).when(labels["quality"] == 1, F.when(labels["toxic"] == 1, 1).otherwise(2)).alias("grade")).filter("grade is not null").dropDuplicates(["l_id"])
+    """Labelled rows that are not held out, with their grade; labels without a quality give none. Of several grades of a
+    document the smallest counts."""
+    grades = F.when(labels["quality"] == 0, 0).when(labels["quality"] == 1, F.when(labels["toxic"] == 1, 1).otherwise(2))
+    own = labels.select(labels["doc_id"].alias("l_id"), grades.alias("grade")).filter("grade is not null").groupBy("l_id").agg(F.min("grade").alias("grade"))
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).filter(~held_out(F.col("doc_id")))
     return texts.join(own, texts["doc_id"] == own["l_id"]).select("doc_id", "text", "grade")
 

@@ -1,8 +1,10 @@
 """Toxicity by weak supervision.
 
-1. Voters. A lexicon is mined from labelled texts: hashed words, word starts and word ends that are far more frequent
-   in toxic texts. Its entries are dealt by kind and strength to several lexicon voters; pattern voters look at the
-   form of a text; the given label is one more, noisy, annotator.
+1. Voters. A lexicon is mined from labelled texts: hashed words, word starts, word ends and pairs of neighbouring words
+   that are far more frequent in toxic texts. Lexicon voters look for its entries by kind and strength, at their density
+   and at entries beside second-person forms; pattern voters look at the form of the whole text: signs, capitals,
+   exclamation, second person, masked words, stretched letters, doubled words. The given label is one more, noisy,
+   annotator.
 2. Label model. The votes of the sample are counted by pattern (at most 2 ** voters rows), and EM fits a
    generative model of an unseen true label: each voter's accuracies given the label, and for each label a tree of
    correlated voters (Chow and Liu, 1968) chosen by conditional mutual information.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut_lineage
 from . import linear
 from .sampling import held_out, thinned
-from .tables import table
+from .tables import added, table
 from .words import LETTERS, WordTable, held
 
 DIM = 1 << 18
@@ -38,14 +41,20 @@ LEAST_TEXTS, LEAST_Z = 3, 4.0
 LEAST_SHARE, STRONG = 0.5, 0.8
 #: Prior of the annotator: P(labelled toxic | not toxic, toxic), with the weight of this share of the rows. It ties
 #: the unseen label to toxicity rather than to another property that the voters happen to share.
-ANNOTATOR, ANNOTATOR_WEIGHT = (0.01, 0.9), 1.0
-KINDS = ("word", "start", "end")
-LEXICON_VOTERS = [f"{k} {s}" for k in KINDS for s in ("strong", "weak")]
-PATTERN_VOTERS = ["two hits", "signs", "shouting", "exclamation"]
+ANNOTATOR, ANNOTATOR_WEIGHT = (0.01, 0.9), 0.25
+KINDS = ("word", "start", "end", "pair")
+LEXICON_VOTERS = ["strong word", "weak word", "strong start", "strong end", "strong pair", "dense", "aimed"]
+PATTERN_VOTERS = ["signs", "shouting", "exclamation", "second person", "masked", "stretched", "doubled"]
 VOTERS = [*LEXICON_VOTERS, *PATTERN_VOTERS, "annotator"]
+#: Words between an entry of the lexicon and a second-person form, and the share of entries among the words of a dense text.
+REACH, DENSE = 4, 0.02
+#: Second-person forms.
+SECOND_PERSON = frozenset(("you", "your", "yours", "yourself", "u", "ur"))
 #: A score of at least this is predicted toxic.
 THRESHOLD = 0.3
 _SIGNS = re.compile(r"[^\w\s.,;:'\"!?()-]")
+_MASKED = re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]|[^\W\d_][0134578]+[^\W\d_]")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
 
 
 def features(word: str) -> list[tuple[int, int]]:
@@ -63,10 +72,19 @@ def text_features(text: str | None) -> dict[int, int]:
     return {h: k for w in words_of(text) for k, h in features(w)}
 
 
+def pair_features(text: str | None) -> dict[int, int]:
+    """hash -> kind over the distinct pairs of neighbouring words."""
+    words = LETTERS.findall(text.lower()) if text else []
+    return {DIM + (zlib.crc32(f"{v} {w}".encode("utf-8", "surrogatepass")) & (DIM - 1)): 3 for v, w in set(zip(words, words[1:], strict=False))}
+
+
 def pattern_votes(text: str | None) -> list[bool]:
     t = text or ""
     letters = sum(map(str.isalpha, t))
-    return [len(_SIGNS.findall(t)) > 0.02 * len(t), sum(map(str.isupper, t)) > 0.3 * max(1, letters), t.count("!") > 0.01 * len(t)]
+    words = LETTERS.findall(t.lower())
+    signs, capitals = len(_SIGNS.findall(t)) > 0.02 * len(t), sum(map(str.isupper, t)) > 0.3 * max(1, letters)
+    you, doubled = sum(w in SECOND_PERSON for w in words) > 0.03 * len(words), sum(map(eq, words, words[1:])) > 0.02 * len(words)
+    return [signs, capitals, t.count("!") > 0.01 * len(t), you, bool(_MASKED.search(t)), bool(_STRETCHED.search(t)), doubled]
 
 
 @dataclass
@@ -153,13 +171,13 @@ def logistic_loss(scores: np.ndarray, targets: np.ndarray, extras: np.ndarray):
 
 def lexicon_of(labelled: DataFrame) -> dict[int, float]:
     """Hashed entry -> share of its texts that are toxic, for entries whose signed root of the log-likelihood ratio
-    (Dunning, 1993) is high enough. Counted per partition first; the table has at most ``DIM`` rows."""
+    (Dunning, 1993) is high enough. Counted per partition first; the table has at most twice ``DIM`` rows."""
 
     def count(batches):
-        texts, n, bad = np.zeros((DIM, 2), dtype=np.int64), 0, 0
+        texts, n, bad = np.zeros((2 * DIM, 2), dtype=np.int64), 0, 0
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                texts[list(text_features(t)), int(y)] += 1
+                texts[[*text_features(t), *pair_features(t)], int(y)] += 1
                 n, bad = n + 1, bad + y
         own = np.flatnonzero(texts.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(texts[own, 1], bad)), pa.array(np.append(texts[own, 0], n - bad))], ["h", "a", "b"])
@@ -176,9 +194,14 @@ def lexicon_of(labelled: DataFrame) -> dict[int, float]:
 
 
 def votes_of(text: str | None, lexicon: dict[int, float], annotated: bool) -> list[int]:
-    hits = [(k, lexicon[h]) for h, k in text_features(text).items() if h in lexicon]
-    votes = [any(k == i and (share >= STRONG) == strong for k, share in hits) for i in range(len(KINDS)) for strong in (True, False)]
-    return [int(v) for v in [*votes, len(hits) >= 2, *pattern_votes(text), annotated]]
+    hits = [(k, lexicon[h]) for h, k in (text_features(text) | pair_features(text)).items() if h in lexicon]
+    has = lambda kind, low, high: any(k == kind and low <= share < high for k, share in hits)
+    words = LETTERS.findall(text.lower()) if text else []
+    listed = {w for w in set(words) if any(h in lexicon for k, h in features(w) if not k)}
+    entries = [i for i, w in enumerate(words) if w in listed]
+    aimed = any(w in SECOND_PERSON for i in entries for w in words[max(0, i - REACH) : i + REACH + 1])
+    votes = [has(0, STRONG, 2), has(0, 0, STRONG), has(1, STRONG, 2), has(2, STRONG, 2), has(3, STRONG, 2), len(entries) >= max(2, DENSE * len(words)), aimed]
+    return [int(v) for v in [*votes, *pattern_votes(text), annotated]]
 
 
 def train(labelled: DataFrame) -> tuple[Classifier, LabelModel | None]:
@@ -222,14 +245,15 @@ def predictor(spark: SparkSession, model: Classifier):
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a column ``out`` from 0 to 1. A null or empty text gets the score of the bias alone. Repeated
-    rows and other columns pass as they are."""
-    return docs.withColumn(out, predictor(docs.sparkSession, model)(docs[text]))
+    rows and other columns pass as they are; a column named ``out`` is refused."""
+    return added(docs, out, predictor(docs.sparkSession, model)(docs[text]))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """Texts with a toxic label, none of them held out; labels are thinned before the join."""
+    """Texts with a toxic label, none of them held out; labels are thinned before the join. Of several labels of a
+    document the largest counts."""
     own = thinned(labels.filter(~held_out(labels["doc_id"]) & labels["toxic"].isin(0, 1)), "doc_id", bound)
-    own = own.select(own["doc_id"].alias("l_id"), own["toxic"].cast("int").alias("toxic")).dropDuplicates(["l_id"])
+    own = own.groupBy(own["doc_id"].alias("l_id")).agg(F.max(own["toxic"].cast("int")).alias("toxic"))
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     return texts.join(own, texts["doc_id"] == own["l_id"]).select("doc_id", "text", "toxic")
 
