@@ -226,9 +226,12 @@ def test_language(spark, odd, none):
     got = langid.op9(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97 and got["score"].between(0, 1).all() and got["accepted"].mean() > 0.98
     model = langid.train(odd)
-    rows = langid.identify(odd, model).collect()
-    assert len(rows) == len(ODD) and all(r["language"]["lang"] == "und" for r in rows if not r["text"])
-    assert langid.identify(none, langid.train(none)).count() == 0
+    rows = langid.identify(odd, model, out="found").collect()
+    assert len(rows) == len(ODD) and all(r["found"]["lang"] == "und" for r in rows if not r["text"])
+    assert sorted(str(tuple(r)[:-1]) for r in rows) == sorted(map(str, ODD))
+    with pytest.raises(ValueError):
+        langid.identify(odd, model)
+    assert langid.identify(none, langid.train(none), out="found").count() == 0
 
 
 def test_quality_and_toxicity(spark, odd, none):
