@@ -54,3 +54,20 @@ def combined(scored: DataFrame, alpha: float = 0.1, beta: float = 0.3, gamma: fl
     rank = lambda c: (F.row_number().over(Window.partitionBy(*KEYS).orderBy(c, "idx")) - 1) / F.greatest(n - 1, F.lit(1))
     fused = alpha * rank("d1") + beta * rank("d2_abs") + gamma * rank("energy")
     return scored.select(*KEYS, "idx", linear.alias("linear"), geometric.alias("geometric"), F.least(*[c for c, _ in parts]).alias("least"), fused.alias("fused"))
+
+
+def weights_at(occupancy: float, alpha: float = 0.1, beta: float = 0.3, gamma: float = 0.6, step: float = 0.15) -> tuple[float, float, float]:
+    """Weights of a buffer this full: the energy gains, the first difference loses, and they sum to 1."""
+    g, a = min(0.95, gamma + step * occupancy), max(0.01, alpha - step * occupancy / 2)
+    total = a + beta + g
+    return a / total, beta / total, g / total
+
+
+def rules(scored: DataFrame, weights: tuple[float, float, float], tiny: float = 1e-12) -> DataFrame:
+    """(d1, d2_abs, energy) combined by weighted sum, geometric and harmonic mean and least weighted part."""
+    parts = list(zip((F.col("d1"), F.col("d2_abs"), F.col("energy")), weights, strict=True))
+    linear = parts[0][1] * parts[0][0] + parts[1][1] * parts[1][0] + parts[2][1] * parts[2][0]
+    geometric = F.pow(parts[0][0] + tiny, F.lit(weights[0])) * F.pow(parts[1][0] + tiny, F.lit(weights[1])) * F.pow(parts[2][0] + tiny, F.lit(weights[2]))
+    below = weights[0] / (parts[0][0] + tiny) + weights[1] / (parts[1][0] + tiny) + weights[2] / (parts[2][0] + tiny)
+    harmonic = F.when(below > tiny, 1 / below).otherwise(0.0)
+    return scored.select(*KEYS, "idx", linear.alias("linear"), geometric.alias("geometric"), harmonic.alias("harmonic"), F.least(*[w * c for c, w in parts]).alias("least_weighted"))

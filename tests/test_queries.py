@@ -1,11 +1,11 @@
 import pytest
 
-from reedbed.plans import registry, reports
+from reedbed.plans import registry, reports, studies
 from tests.oracle import difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES = registry.queries() | reports.queries()
-SQL = registry.oracle_sql() | reports.oracle_sql()
+QUERIES = registry.queries() | reports.queries() | studies.queries()
+SQL = registry.oracle_sql() | reports.oracle_sql() | studies.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
