@@ -17,6 +17,7 @@ import heapq
 import re
 import zlib
 from math import log
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ OWN_MARK = "\uf8ff"
 CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 MICRO = 1_000_000
 LIMIT = 500_000
+#: A chunk of more characters is searched in parts.
+LONG = 64
 N_BEST = 3
 NONE = -(1 << 60)
 #: Multiplier of the 64-bit hashes by which substrings of many segments are looked up at once.
@@ -47,6 +50,7 @@ class Lattice:
         size = model.get_piece_size()
         self.model = model
         self.spelled: list[bytes] = []
+        self.faults: set[str] = set()
         self.bytes = {}
         plain = []
         for i in range(size):
@@ -204,13 +208,11 @@ class Lattice:
 
     def cut(self, chunk: str) -> list[str]:
         """The chunk between neighbours that no piece holds together; its best path is made of the parts' best paths."""
-        text, out, last, pairs = chunk.replace(" ", MARK), [], 0, self.pairs
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                out.append(text[last:i])
-                last = i
-        out.append(text[last:])
-        return out
+        text, pairs = chunk.replace(" ", MARK), self.pairs
+        ends = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in pairs]
+        if not ends:
+            return [text]
+        return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)], strict=True)]
 
     def learn(self, chunks: set[str], block: int = 8192) -> None:
         if len(self.index) > LIMIT:
@@ -232,24 +234,35 @@ class Lattice:
                 self.segments.update(zip(own[at : at + block], self.best_of_many(own[at : at + block]), strict=True))
         numbers = []
         for chunk, parts in zip(new, plain, strict=True):
-            known = [self.segments[s] for s in parts] if parts else [self.best(chunk)]
             self.index[chunk] = len(self.ids)
-            self.ids.append(b"".join([k[2] for k in known]) if len(known) > 1 else known[0][2])
+            if parts and len(parts) == 1:
+                score, regret, ids = self.segments[parts[0]]
+                self.ids.append(ids)
+                numbers.append((score, regret))
+                continue
+            known = [self.segments[s] for s in parts] if parts else [self.best(chunk)]
+            self.ids.append(b"".join([k[2] for k in known]))
             numbers.append((sum(k[0] for k in known), min((k[1] for k in known if k[1] >= 0), default=-1)))
         self.numbers = np.concatenate((self.numbers, np.array(numbers, dtype=np.int64)))
+        # all new chunks are decoded in one go; if their chain differs, each is tried
+        if self.spelling(b"".join(self.ids[-len(new) :])) != "".join(new).encode("utf-8", "surrogatepass"):
+            for chunk in new:
+                self._try(chunk, self.ids[self.index[chunk]])
 
     def several(self, chunk: str, n: int) -> list[tuple[int, bytes]]:
-        """The ``n`` best of a chunk: searched in its parts of smallest regret, joined in order of score."""
+        """The ``n`` best of a chunk. A long one is searched in its parts of smallest regret, joined in order of score."""
         if len(self.ways) > LIMIT // 10:
             self.ways.clear()
         if (chunk, n) not in self.ways:
-            parts = [] if MARK in chunk or OWN_MARK in chunk else self.cut(chunk)
+            parts = [] if len(chunk) <= LONG or MARK in chunk or OWN_MARK in chunk else self.cut(chunk)
             if len(parts) > 1:
                 known = [self.segments.get(s) or self.best(s.replace(MARK, " ")) for s in parts]
                 numbers = np.array([k[:2] for k in known], dtype=np.int64)
                 self.ways[chunk, n] = joined(numbers, [k[2] for k in known], lambda at: self.n_best(parts[at].replace(MARK, " "), n), n)
             else:
                 self.ways[chunk, n] = self.n_best(chunk, n)
+            for _, ids in self.ways[chunk, n]:
+                self._try(chunk, ids)
         return self.ways[chunk, n]
 
     def segment(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[int, bytes]]]:
@@ -265,6 +278,16 @@ class Lattice:
             out.append(joined(numbers, list(map(self.ids.__getitem__, index)), lambda at, own=chunks: self.several(own[at], n), n))
         return out
 
+    def _try(self, chunk: str, ids: bytes) -> None:
+        if self.spelling(ids) != chunk.encode("utf-8", "surrogatepass"):
+            self.faults.add(chunk)
+
+    def sound(self, text: str | None) -> bool:
+        """Whether each segmentation found of this text decodes to it. Chunks are decoded when they are segmented first;
+        a text is their chain, so it decodes if all of them do."""
+        chunks = CHUNK.findall(" " + text) if text else []
+        return "".join(chunks) == (" " + text if text else "") and self.faults.isdisjoint(chunks)
+
     def spelling(self, ids: bytes) -> bytes:
         """UTF-8 of a segmentation, with the space before the text."""
         if not self.spelled:
@@ -352,11 +375,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
             for names, texts in zip(some(b.column("doc_id").to_pylist(), 256), some(b.column("text").to_pylist(), 256), strict=True):
                 own = lattice(where)
                 found = own.segment(texts)
-                whole = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names, pa.int64()), pa.array([len(f[0][1]) // 4 for f in found], pa.int64()), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64())),
-                        pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64())), pa.array([all(own.spelling(i) == w for _, i in f) for f, w in zip(found, whole, strict=True)], pa.bool_()),
+                        pa.array([[zlib.crc32(i) for _, i in f] for f in found], pa.list_(pa.int64())), pa.array(list(map(own.sound, texts)), pa.bool_()),
                     ],
                     ["doc_id", "n_pieces", "scores", "ids_crc32", "round_trip"],
                 )
