@@ -17,7 +17,6 @@ import heapq
 import re
 import zlib
 from math import log
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +62,14 @@ class Lattice:
         self.scores = {piece: (i, -round(MICRO * log((r + 1) * norm))) for r, (_, i, piece) in enumerate(sorted(plain))}
         self.byte_score = -round(MICRO * (log(len(plain) * norm) + 5))
         self.longest = max(map(len, self.scores), default=1)
-        self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        letters = sorted(set("".join(pairs)))
+        #: The place of a character among those that some piece holds with a neighbour (0: none), and which two it holds.
+        self.kinds = np.zeros(0x110000, dtype=np.uint16)
+        self.kinds[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.together = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+        for one, other in pairs:
+            self.together[self.kinds[ord(one)], self.kinds[ord(other)]] = True
         short = [(p, *v) for p, v in self.scores.items() if all(ord(c) < 0x10000 for c in p)]
         hashes = np.array([self._hashes([p])[-1][0, 0] for p, _, _ in short], dtype=np.uint64)
         order = np.argsort(hashes)
@@ -206,13 +212,17 @@ class Lattice:
                 heapq.heappush(heap, (-(done + score + forward[start]), start, made, done + score, (own, path)))
         return out
 
-    def cut(self, chunk: str) -> list[str]:
-        """The chunk between neighbours that no piece holds together; its best path is made of the parts' best paths."""
-        text, pairs = chunk.replace(" ", MARK), self.pairs
-        ends = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in pairs]
-        if not ends:
-            return [text]
-        return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)], strict=True)]
+    def cut(self, chunks: list[str]) -> list[list[str]]:
+        """Each chunk between neighbours that no piece holds together; its best path is made of the parts' best paths."""
+        text = "".join(chunks).replace(" ", MARK)
+        kinds = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        apart = ~self.together[kinds[:-1], kinds[1:]]
+        lengths = np.cumsum([len(c) for c in chunks])
+        apart[lengths[:-1] - 1] = True
+        bounds = [0, *(np.flatnonzero(apart) + 1).tolist(), len(text)]
+        parts = [text[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        ends = np.searchsorted(bounds, lengths).tolist()
+        return [parts[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def learn(self, chunks: set[str], block: int = 8192) -> None:
         if len(self.index) > LIMIT:
@@ -222,7 +232,9 @@ class Lattice:
         new = list(chunks.difference(self.index))
         if not new:
             return
-        plain = [None if MARK in c or OWN_MARK in c else self.cut(c) for c in new]
+        whole = "".join(new)
+        own_marks = {c for c in new if MARK in c or OWN_MARK in c} if MARK in whole or OWN_MARK in whole else ()
+        plain = [None if c in own_marks else parts for c, parts in zip(new, self.cut(new), strict=True)]
         by_length: dict[int, list[str]] = {}
         for s in {s for parts in plain if parts for s in parts}.difference(self.segments):
             if len(s) <= 48 and all(map(self.scores.__contains__, s)) and ord(max(s)) < 0x10000:
@@ -245,7 +257,7 @@ class Lattice:
             numbers.append((sum(k[0] for k in known), min((k[1] for k in known if k[1] >= 0), default=-1)))
         self.numbers = np.concatenate((self.numbers, np.array(numbers, dtype=np.int64)))
         # all new chunks are decoded in one go; if their chain differs, each is tried
-        if self.spelling(b"".join(self.ids[-len(new) :])) != "".join(new).encode("utf-8", "surrogatepass"):
+        if self.spelling(b"".join(self.ids[-len(new) :])) != whole.encode("utf-8", "surrogatepass"):
             for chunk in new:
                 self._try(chunk, self.ids[self.index[chunk]])
 
@@ -254,7 +266,7 @@ class Lattice:
         if len(self.ways) > LIMIT // 10:
             self.ways.clear()
         if (chunk, n) not in self.ways:
-            parts = [] if len(chunk) <= LONG or MARK in chunk or OWN_MARK in chunk else self.cut(chunk)
+            parts = [] if len(chunk) <= LONG or MARK in chunk or OWN_MARK in chunk else self.cut([chunk])[0]
             if len(parts) > 1:
                 known = [self.segments.get(s) or self.best(s.replace(MARK, " ")) for s in parts]
                 numbers = np.array([k[:2] for k in known], dtype=np.int64)
