@@ -48,13 +48,13 @@ def spectrum(series: DataFrame, size: int = 64) -> DataFrame:
     return g.select(*KEYS, "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
 
 
-def spectrum_of_blocks(series: DataFrame, size: int = 512) -> DataFrame:
+def spectrum_of_blocks(series: DataFrame, size: int = 512, last: bool = False) -> DataFrame:
     """(keys, block, n, k, mag): magnitudes of the first n / 2 bins of each block of ``size`` samples, n being its own
     number of samples: the last block of a series is shorter. Block 0 alone is the form of min(N, size) samples, which the
-    reference takes. A window holds at most ``size`` samples."""
+    reference takes. A window holds at most ``size`` samples. With ``last`` also bin n / 2."""
     blocks = series.select(*KEYS, F.floor(F.col("idx") / size).alias("block"), (F.col("idx") % size).alias("at"), "value")
     own = blocks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "block"))).filter("n > 1")
-    bins = own.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int") - 1)).alias("k"))
+    bins = own.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int") - (0 if last else 1))).alias("k"))
     angle = F.lit(2 * math.pi) / F.col("n") * ((F.col("k") * F.col("at")) % F.col("n"))
     g = bins.groupBy(*KEYS, "block", "n", "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
     return g.select(*KEYS, "block", "n", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
@@ -69,3 +69,54 @@ def features(series: DataFrame, width: int) -> DataFrame:
     mu = F.col("mean")
     central4 = F.col("m4") - 4 * mu * F.col("m3") + 6 * mu * mu * F.col("m2") - 3 * mu * mu * mu * mu
     return g.select(*KEYS, "window", "mean", "sd", "rms", F.when(F.col("sd") > 1e-9, central4 / F.pow("sd", F.lit(4.0))).alias("kurtosis"), F.when(F.col("rms") > 0, F.col("top") / F.col("rms")).alias("crest"), (F.col("top")).alias("peak"))
+
+
+def activity_features(series: DataFrame, width: int, rate: float, edges=((0, 5), (5, 10), (10, 20))) -> DataFrame:
+    """Per full window of ``width`` samples: mean, sd, low, high, median, area (mean magnitude), crossings (changes of
+    sign about the mean, per sample), rms, iqr, dominant (Hz, not bin 0), energies by band (Hz) and spectral entropy."""
+    own = [*KEYS, "window"]
+    rows = series.select(*KEYS, F.floor(F.col("idx") / width).alias("window"), "idx", "value")
+    block = Window.partitionBy(*own)
+    side = F.signum(F.round(F.col("value") - F.avg("value").over(block), 9))
+    v = F.col("value")
+    times = rows.withColumn("side", side).withColumn("turn", (F.col("side") != F.lag("side").over(block.orderBy("idx"))).cast("long")).groupBy(*own).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, 0.5).alias("median"), F.avg(F.abs(v)).alias("area"),
+        (F.sum("turn") / width).alias("crossings"), F.sqrt(F.avg(v * v)).alias("rms"), (F.percentile(v, 0.75) - F.percentile(v, 0.25)).alias("iqr"),
+    ).filter(F.col("n") == width).drop("n")
+    bins = spectrum_of_blocks(series, width, last=True).filter(F.col("n") == width).withColumnRenamed("block", "window").withColumn("e", F.col("mag") * F.col("mag"))
+    share = F.col("e") / (F.sum("e").over(block) + 1e-10)
+    freq = F.col("k") * (rate / width)
+    waves = bins.withColumn("p", share).groupBy(*own).agg(
+        (-F.max(F.when(F.col("k") > 0, F.struct(F.round("mag", 9).alias("m"), (-freq).alias("f"))))["f"]).alias("dominant"),
+        *(F.sum(F.when((freq >= a) & (freq < b), F.col("e")).otherwise(0.0)).alias(f"energy_{a}_{b}") for a, b in edges), (-F.sum(F.col("p") * F.ln(F.col("p") + 1e-10))).alias("entropy"),
+    )
+    return times.join(waves, own)
+
+
+def bin_features(series: DataFrame, width: int, bins: int = 32) -> DataFrame:
+    """Per full window of ``width`` samples: its first ``bins`` magnitudes (in order, as many as there are below half the
+    width) with rms, kurtosis, crest and sd."""
+    mags = spectrum_of_blocks(series, width).filter((F.col("n") == width) & (F.col("k") < bins)).groupBy(*KEYS, F.col("block").alias("window")).agg(F.sort_array(F.collect_list(F.struct("k", "mag"))).alias("b"))
+    stats = features(series, width).select(*KEYS, "window", "rms", "kurtosis", "crest", "sd")
+    return stats.join(mags, [*KEYS, "window"]).select(*stats.columns, F.transform("b", lambda x: x["mag"]).alias("bins"))
+
+
+def stratified(vectors: DataFrame, folds: int, salt: int = 64) -> DataFrame:
+    """``fold`` for each row: the rows of a class are numbered within ``salt`` parts, so that no task holds a whole class,
+    and dealt out in turn; folds of a class differ by at most one row for each part."""
+    part = F.pmod(F.col("vec_id"), F.lit(salt))
+    place = F.row_number().over(Window.partitionBy("label", part).orderBy("vec_id")) - 1 + part
+    return vectors.withColumn("fold", (place % folds).cast("int"))
+
+
+def cross_validated(vectors: DataFrame, folds: int) -> DataFrame:
+    """(fold, n, accuracy): each fold is classified by the centroids of the others, by arithmetic on class sums; a class
+    that lies in one fold alone is no candidate there. The sums have classes x folds x dimensions rows."""
+    rows = stratified(vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x")), folds)
+    sums = rows.select("label", "fold", F.posexplode("x").alias("dim", "v")).groupBy("label", "fold", "dim").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    totals = sums.groupBy("label", "dim").agg(F.sum("s").alias("all"), F.sum("n").alias("count")).select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    rest = totals.join(sums, ["label", "fold", "dim"], "left").withColumn("left", F.col("count") - F.coalesce("n", F.lit(0))).filter("left > 0")
+    means = rest.select("fold", "label", F.struct("dim", ((F.col("all") - F.coalesce("s", F.lit(0.0))) / F.col("left")).alias("m")).alias("d")).groupBy("fold", "label").agg(F.transform(F.sort_array(F.collect_list("d")), lambda d: d["m"]).alias("m"))
+    held = means.groupBy("fold").agg(F.collect_list(F.struct(F.col("label").alias("c"), "m")).alias("classes"))
+    near = F.array_min(F.transform("classes", lambda c: F.struct((-F.round(cosine(F.col("x"), c["m"]), 12)).alias("d"), c["c"].alias("c"))))["c"]
+    return rows.join(held, "fold").withColumn("hit", (near == F.col("label")).cast("double")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("accuracy"))

@@ -14,6 +14,12 @@ from pyspark.sql import DataFrame
 
 from ..sources.series import KEYS
 
+#: Keeps powers and quotients of scores defined at 0.
+TINY = 1e-12
+#: Weight that a full buffer moves from the first difference to the energy.
+SHIFT = 0.3
+#: Policies whose score of a sample depends on its two neighbours alone, as functions of (chord error, span, beta).
+LOCAL = {"interp": lambda e, s, b: e, "area": lambda e, s, b: 0.5 * s * e, "span": lambda e, s, b: e * max(s, 1) ** b}
 SCHEMA = "signal_id string, segment long, idx long, value double"
 
 
@@ -30,8 +36,10 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
     n = len(x)
     span = np.full(n, 0.0)
     span[1:-1] = t[2:] - t[:-2]
-    if policy in ("interp", "area", "span", "lookahead", "interp_composite"):
+    if policy in ("interp", "area", "span", "lookahead", "interp_composite", "interp_frequency"):
         ie = chord_error(t, x)
+        if policy == "interp_frequency":
+            return np.where(np.isinf(ie), np.inf, ie * frequency_weight(x, window, weights[2]))
         if policy == "area":
             return np.where(np.isinf(ie), np.inf, 0.5 * span * np.where(np.isinf(ie), 0, ie))
         if policy == "span":
@@ -55,13 +63,40 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
         three = np.stack([x[:-2], x[1:-1], x[2:]])
         out[1:-1] = three.var(0)
         return out
-    parts = {"first_order": (1, 0, 0), "second_order": (0, 1, 0), "energy": (0, 0, 1), "composite": weights}[policy]
-    out = parts[0] * d1 + parts[1] * d2 + parts[2] * energy(x, window)
+    if policy == "any_step":  # nothing but the oldest sample is safe
+        return np.concatenate(([np.inf], d1[1:]))
+    if policy == "adaptive":  # the buffer is full whenever a score is asked for
+        first, second, third = max(0.01, weights[0] - SHIFT / 2), weights[1], min(0.95, weights[2] + SHIFT)
+        weights = tuple(w / (first + second + third) for w in (first, second, third))
+    ew = energy(x, window)
+    with np.errstate(divide="ignore"):
+        if policy == "geometric":
+            out = np.prod([(p + TINY) ** w for p, w in zip((d1, d2, ew), weights, strict=True)], axis=0)
+        elif policy == "harmonic":
+            out = 1 / sum(w / (p + TINY) for p, w in zip((d1, d2, ew), weights, strict=True))
+        elif policy == "least":
+            out = np.min([w * p for p, w in zip((d1, d2, ew), weights, strict=True)], axis=0)
+        else:
+            parts = {"first_order": (1, 0, 0), "second_order": (0, 1, 0), "energy": (0, 0, 1)}.get(policy, weights)
+            out = parts[0] * d1 + parts[1] * d2 + parts[2] * ew
     if n > 3:
         out[[0, -1]] = np.inf
     return out
 
 
+def frequency_weight(x: np.ndarray, window: int, gamma: float) -> np.ndarray:
+    """1 + gamma * the rate of sign changes about the local mean, in the 2 * window + 1 steps from ``window`` before."""
+    n = len(x)
+    total, i = np.concatenate(([0.0], np.cumsum(x))), np.arange(n)
+    low, high = np.maximum(i - window, 0), np.minimum(i + window, n - 1)
+    mean = (total[high + 1] - total[low]) / (high - low + 1)
+    rate = np.zeros(n)
+    for at in range(n):
+        own = x[low[at] : min(low[at] + 2 * window + 1, n - 1) + 1] - mean[at]
+        rate[at] = (own[:-1] * own[1:] < 0).mean() if len(own) > 1 else 0.0
+    return 1 + gamma * rate
+
+
 def energy(x: np.ndarray, window: int) -> np.ndarray:
     squares = np.concatenate(([0.0], np.cumsum(np.diff(x) ** 2)))
     i = np.arange(len(x))
@@ -76,24 +111,50 @@ class Buffer:
     def __init__(self, capacity: int, overload: int, policy: str, places=(), values=(), arrived: int = 0, **options):
         self.capacity, self.overload, self.policy, self.options = capacity, overload, policy, options
         self.places, self.values, self.arrived = list(places), list(values), arrived
+        self.local, self.beta = LOCAL.get(policy), options.get("beta", 0.5)
+        #: Scores of a local policy; each change renews those beside it.
+        self.scores = [np.inf] * len(self.places) if self.local else []
+        if self.local:
+            self._score(range(len(self.places)))
+
+    def _score(self, at) -> None:
+        t, x = self.places, self.values
+        for i in at:
+            if 0 < i < len(t) - 1:
+                p, span = x[i - 1], t[i + 1] - t[i - 1]
+                self.scores[i] = self.local(abs(x[i] - (p + (t[i] - t[i - 1]) / span * (x[i + 1] - p))), span, self.beta)
+            elif 0 <= i < len(t):
+                self.scores[i] = np.inf
 
     def victim(self) -> int:
         if self.policy == "fifo":
             return 0
         if self.policy == "middle":
             return len(self.places) // 2
+        if self.local:
+            return self.scores.index(min(self.scores))
         scores = importance(self.policy, np.array(self.places, dtype=np.float64), np.array(self.values, dtype=np.float64), **self.options)
         return int(scores.argmin()) if np.isfinite(scores).any() else 0
 
+    def _remove(self, at: int) -> tuple[int, float]:
+        if self.local:
+            del self.scores[at]
+        out = self.places.pop(at), self.values.pop(at)
+        if self.local:
+            self._score((at - 1, at))
+        return out
+
     def push(self, place: int, value: float) -> tuple[int, float] | None:
         """Takes a sample; returns the oldest one when it is its turn to leave."""
         if len(self.places) == self.capacity:
-            at = self.victim()
-            del self.places[at], self.values[at]
+            self._remove(self.victim())
         self.places.append(place)
         self.values.append(value)
+        if self.local:
+            self.scores.append(np.inf)
+            self._score((len(self.places) - 2,))
         self.arrived += 1
-        return (self.places.pop(0), self.values.pop(0)) if self.arrived % self.overload == 0 else None
+        return self._remove(0) if self.arrived % self.overload == 0 else None
 
     def rest(self) -> list[tuple[int, float]]:
         return list(zip(self.places, self.values, strict=True))
@@ -106,6 +167,16 @@ def bounded_places(x: np.ndarray, capacity: int, overload: int, policy: str, **o
     return out + buffer.places
 
 
+def evicted_places(x: np.ndarray, capacity: int, policy: str = "interp", **options) -> list[int]:
+    """Fill, then evict: a sample is taken before the one to go is chosen, none leaves alive, ``capacity`` remain."""
+    buffer, room = Buffer(len(x) + 1, len(x) + 1, policy, **options), max(capacity, 2)
+    for i, v in enumerate(x.tolist()):
+        buffer.push(i, v)
+        if len(buffer.places) > room:
+            buffer._remove(buffer.victim())
+    return buffer.places
+
+
 def greedy_places(x: np.ndarray, target: int, area: bool = False) -> list[int]:
     """Remove the sample nearest to its chord (or of least area) until ``target`` are left; ends stay, ties go to the
     older sample."""
@@ -209,6 +280,10 @@ def bounded(series: DataFrame, capacity: int, overload: int, policy: str = "inte
     return folded(series, lambda x: bounded_places(x, capacity, overload, policy, **options))
 
 
+def evicted(series: DataFrame, capacity: int, policy: str = "interp", **options) -> DataFrame:
+    return folded(series, lambda x: evicted_places(x, capacity, policy, **options))
+
+
 def greedy(series: DataFrame, share: int, area: bool = False) -> DataFrame:
     return folded(series, lambda x: greedy_places(x, max(2, len(x) // share), area))
 

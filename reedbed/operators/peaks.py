@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from ..sources.series import KEYS
 
 
-def peaks(series: DataFrame, by: list[str] = KEYS, value: str = "value", reach: int = 2, share: float = 0.5, apart: int = 100) -> DataFrame:
-    """(by, peaks): places that are above min + share * (max - min) and not below their ``reach`` neighbours on either side;
+def peaks(series: DataFrame, by: list[str] = KEYS, value: str = "value", reach: int = 2, share: float = 0.5, apart: int = 100, of_top: bool = False) -> DataFrame:
+    """(by, peaks): places that are above min + share * (max - min), or share * max (``of_top``), and not below their ``reach`` neighbours on either side;
     of places nearer than ``apart`` the taller, else the earlier, stays. A series without a peak has an empty array."""
     own = Window.partitionBy(*by)
     order = own.orderBy("idx")
     v = F.col(value)
-    level = F.min(v).over(own) + share * (F.max(v).over(own) - F.min(v).over(own))
+    level = share * F.max(v).over(own) if of_top else F.min(v).over(own) + share * (F.max(v).over(own) - F.min(v).over(own))
     inner = F.lag(v, reach).over(order).isNotNull() & F.lead(v, reach).over(order).isNotNull()
     top = inner & (v > level) & (v >= F.max(v).over(order.rowsBetween(-reach, reach)))
     found = series.withColumn("at", F.when(top, F.struct(F.col("idx").alias("i"), v.alias("v"))))
@@ -32,23 +32,23 @@ def peaks(series: DataFrame, by: list[str] = KEYS, value: str = "value", reach:
     return g.select(*by, F.transform(kept, lambda p: p["i"]).alias("peaks"))
 
 
-def matched(truth: Column, found: Column, within: int) -> Column:
-    """Pairs struct(t, d): each found place in turn takes the nearest known place not yet taken, ``within`` samples at
-    most; ties go to the earlier."""
+def matched(truth: Column, found: Column, within: int, nearest: bool = True) -> Column:
+    """Pairs struct(t, d): each found place in turn takes the nearest known place not yet taken, or the earliest (not
+    ``nearest``), ``within`` samples at most; ties go to the earlier."""
 
     def step(pairs: Column, d: Column) -> Column:
         free = F.filter(truth, lambda t: (F.abs(t - d) <= within) & ~F.exists(pairs, lambda p: p["t"] == t))
-        best = F.array_min(F.transform(free, lambda t: F.struct(F.abs(t - d).alias("far"), t.alias("t"))))
+        best = F.array_min(F.transform(free, lambda t: F.struct((F.abs(t - d) if nearest else F.lit(0)).alias("far"), t.alias("t"))))
         return F.when(F.size(free) > 0, F.concat(pairs, F.array(F.struct(best["t"].alias("t"), d.alias("d"))))).otherwise(pairs)
 
     return F.aggregate(found, F.array().cast("array<struct<t:bigint,d:bigint>>"), step)
 
 
-def peak_scores(truth: DataFrame, found: DataFrame, keys: list[str] = KEYS, within: int = 15) -> DataFrame:
+def peak_scores(truth: DataFrame, found: DataFrame, keys: list[str] = KEYS, within: int = 15, nearest: bool = True) -> DataFrame:
     """(keys of ``found``, true_positives, false_positives, false_negatives, precision, recall, f1, mean_shift): null
     scores where no peak is known. ``found`` may have more key columns (a method)."""
     both = found.withColumnRenamed("peaks", "found").join(truth.select(*keys, F.col("peaks").alias("truth")), keys)
-    d = both.withColumn("pairs", matched(F.col("truth"), F.col("found"), within))
+    d = both.withColumn("pairs", matched(F.col("truth"), F.col("found"), within, nearest))
     more = [c for c in found.columns if c != "peaks"]
     tp = F.size("pairs")
     d = d.select(*more, tp.alias("true_positives"), (F.size("found") - tp).alias("false_positives"), (F.size("truth") - tp).alias("false_negatives"), F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.abs(p["t"] - p["d"])).alias("shift"))
