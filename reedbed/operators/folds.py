@@ -1,7 +1,9 @@
 """Reducers whose choices depend on all earlier ones: a fold over each (signal_id, segment).
 
-Spark deals the series out; a task sees one segment at a time. ``bounded`` keeps ``capacity`` samples, drops the one of
-least importance when full, and lets the oldest out every ``overload`` arrivals.
+Spark deals the series out in blocks of at most ``BLOCK`` samples of a segment, and a task sees one block at a time. A
+fold starts anew with each block, so a segment of any number of rows needs no more memory than one block. ``bounded``
+keeps ``capacity`` samples, drops the one of least importance when full, and lets the oldest out every ``overload``
+arrivals.
 """
 
 from __future__ import annotations
@@ -9,13 +11,17 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.series import KEYS
 
 #: Keeps powers and quotients of scores defined at 0.
 TINY = 1e-12
+#: Most samples of a segment that one fold sees.
+BLOCK = 65_536
 #: Weight that a full buffer moves from the first difference to the energy.
 SHIFT = 0.3
 #: Policies whose score of a sample depends on its two neighbours alone, as functions of (chord error, span, beta).
@@ -180,7 +186,7 @@ def evicted_places(x: np.ndarray, capacity: int, policy: str = "interp", **optio
 def greedy_places(x: np.ndarray, target: int, area: bool = False) -> list[int]:
     """Remove the sample nearest to its chord (or of least area) until ``target`` are left; ends stay, ties go to the
     older sample."""
-    n = len(x)
+    n, x = len(x), x.tolist()
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
 
     def score(i: int) -> float:
@@ -225,7 +231,7 @@ def lttb_places(x: np.ndarray, target: int) -> list[int]:
 
 def door_places(x: np.ndarray, tolerance: float) -> list[int]:
     """Swinging door: store the sample before the one at which the door from the last stored sample closes."""
-    n = len(x)
+    n, x = len(x), x.tolist()
     if n < 3:
         return list(range(n))
     out, high, low = [0], np.inf, -np.inf
@@ -242,15 +248,17 @@ def door_places(x: np.ndarray, tolerance: float) -> list[int]:
 def piece_places(x: np.ndarray, tolerance: float) -> list[int]:
     """Greedy segments: store the sample before the one whose chord from the last stored sample leaves a sample between
     them farther than ``tolerance``; both ends are kept."""
-    n = len(x)
+    n, x = len(x), x.tolist()
     if n < 3:
         return list(range(n))
-    out = [0]
+    out, at, low, high = [0], 0, -np.inf, np.inf  # slopes that pass all samples since the last stored one
     for i in range(2, n):
-        at = out[-1]
-        between = np.arange(at + 1, i)
-        if len(between) and np.abs(x[between] - (x[at] + (between - at) / (i - at) * (x[i] - x[at]))).max() > tolerance:
+        between, run = x[i - 1] - x[at], i - 1 - at
+        if run:
+            low, high = max(low, (between - tolerance) / run), min(high, (between + tolerance) / run)
+        if not low <= (x[i] - x[at]) / (i - at) <= high:
             out.append(i - 1)
+            at, low, high = i - 1, -np.inf, np.inf
     return out if out[-1] == n - 1 else [*out, n - 1]
 
 
@@ -266,14 +274,25 @@ def within(x: np.ndarray, target: int, places, halvings: int = 50) -> list[int]:
     return places(x, high)
 
 
+def blocks_of(series: DataFrame):
+    """The series grouped for a fold. Blocks lie within segments, so a series that is dealt out by segment stays put."""
+    return series.select(*KEYS, F.floor(F.col("idx") / BLOCK).alias("block"), "idx", "value").groupBy(*KEYS, "block")
+
+
+def in_order(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A block by place, and its values."""
+    own = group.take(pc.sort_indices(group["idx"])).select([*KEYS, "idx", "value"])
+    return own, own["value"].to_numpy()
+
+
 def folded(series: DataFrame, places) -> DataFrame:
-    """Survivors of every segment under ``places(values)``."""
+    """Survivors of every block of every segment under ``places(values)``."""
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("idx")
-        return own.iloc[sorted(places(own["value"].to_numpy()))][[*KEYS, "idx", "value"]]
+    def keep(group: pa.Table) -> pa.Table:
+        own, x = in_order(group)
+        return own.take(pa.array(sorted(places(x)), pa.int64()))
 
-    return series.select(*KEYS, "idx", "value").groupBy(*KEYS).applyInPandas(keep, SCHEMA)
+    return blocks_of(series).applyInArrow(keep, SCHEMA)
 
 
 def bounded(series: DataFrame, capacity: int, overload: int, policy: str = "interp", **options) -> DataFrame:
@@ -302,12 +321,11 @@ def piecewise(series: DataFrame, share: int) -> DataFrame:
 
 def swept(series: DataFrame, configs: list[dict]) -> DataFrame:
     """Survivors of ``bounded`` under each of ``configs`` (its keyword arguments), with ``config``, the place in the list.
-    One shuffle for the whole sweep: a segment meets all configurations in the task that holds it."""
+    One shuffle for the whole sweep: a block meets all configurations in the task that holds it."""
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("idx")
-        x = own["value"].to_numpy()
-        parts = [own.iloc[sorted(bounded_places(x, **c))][[*KEYS, "idx", "value"]].assign(config=i) for i, c in enumerate(configs)]
-        return pd.concat(parts, ignore_index=True)
+    def keep(group: pa.Table) -> pa.Table:
+        own, x = in_order(group)
+        parts = [own.take(pa.array(sorted(bounded_places(x, **c)), pa.int64())) for c in configs]
+        return pa.concat_tables([p.append_column("config", pa.array([i] * len(p), pa.int32())) for i, p in enumerate(parts)])
 
-    return series.select(*KEYS, "idx", "value").groupBy(*KEYS).applyInPandas(keep, f"{SCHEMA}, config int")
+    return blocks_of(series).applyInArrow(keep, f"{SCHEMA}, config int")

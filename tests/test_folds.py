@@ -74,3 +74,30 @@ def test_fifo_closed_form_equals_the_fold(spark):
 def test_delta_round_trip(spark):
     s = folds.greedy(read_samples(spark, SF), 4)
     assert delta_decode(delta_code(s)).exceptAll(s.select("signal_id", "segment", "idx")).isEmpty()
+
+
+def slow_pieces(x, tolerance):
+    out = [0]
+    for i in range(2, len(x)):
+        at = out[-1]
+        if any(chord(at, b, i, x) > tolerance for b in range(at + 1, i)):
+            out.append(i - 1)
+    return out if out[-1] == len(x) - 1 else [*out, len(x) - 1]
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.3, 1.1, 50.0])
+def test_pieces_equal_slow(tolerance):
+    x = np.cumsum(np.random.default_rng(13).normal(size=150))
+    assert folds.piece_places(x, tolerance) == slow_pieces(x, tolerance)
+
+
+def test_a_long_segment_is_folded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(folds, "BLOCK", 50)
+    x = np.random.default_rng(17).normal(size=120)
+    rows = spark.createDataFrame([("a", 0, i, float(v)) for i, v in enumerate(x)], "signal_id string, segment long, idx long, value double")
+    got = sorted(r.idx for r in folds.bounded(rows, 8, 3).collect())
+    want = [start + i for start in (0, 50, 100) for i in folds.bounded_places(x[start : start + 50], 8, 3, "interp")]
+    assert got == sorted(want)
+    swept = {(r.config, r.idx) for r in folds.swept(rows, [{"capacity": 8, "overload": 3, "policy": "interp"}]).collect()}
+    assert swept == {(0, i) for i in want}
+    assert folds.bounded(rows.limit(0), 8, 3).count() == 0
