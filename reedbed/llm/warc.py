@@ -1,7 +1,8 @@
 """WARC fixity by Merkle trees.
 
 Records are numbered slots. A slot's leaf is the digest of its record; a node is the digest of up to ``FANOUT``
-children, in order, and so covers an ordered range of slots and offsets. Two replicas are compared at their roots, and
+children, in order, each with the range of bytes that it takes from the start of the node. So a root vouches for every
+record and for the place of every record among the others. Two replicas are compared at their roots, and
 only children of nodes that differ are looked at on the way down to the corrupt records.
 """
 
@@ -28,7 +29,7 @@ def record(number: Column, url: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, number: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(slot, record): the pages as records. A null number has slot -1."""
+    """(slot, record): the pages as records. A null number has slot -1, beside a real -1; their identifiers differ."""
     return pages.select(F.coalesce(pages[number].cast("long"), F.lit(-1)).alias("slot"), record(pages[number], pages[url], pages[body]).alias("record"))
 
 
@@ -45,8 +46,13 @@ def leaves(replica: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """(side, node, digest) one level up; a node has at most ``FANOUT`` children."""
-    return nodes.groupBy("side", F.floor(F.col("node") / FANOUT).alias("node")).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("node", "digest")))), 256).alias("digest"))
+    """(side, node, digest, length) one level up; a node has at most ``FANOUT`` children. The digest is that of each child's
+    number, range of offsets [start, end) within the node and digest."""
+    children = F.sort_array(F.collect_list(F.struct("node", "digest", "length")))
+    grouped = nodes.groupBy("side", F.floor(F.col("node") / FANOUT).alias("node")).agg(children.alias("children"), F.sum("length").alias("length"))
+    end = lambda at: F.aggregate(F.slice("children", F.lit(1), at), F.lit(0).cast("long"), lambda total, c: total + c["length"])
+    ranges = F.transform("children", lambda c, i: F.struct(c["node"].alias("node"), end(i).alias("start"), end(i + 1).alias("end"), c["digest"].alias("digest")))
+    return grouped.select("side", "node", F.sha2(F.to_json(ranges), 256).alias("digest"), "length")
 
 
 def differing(level: DataFrame, under: DataFrame | None) -> DataFrame:
@@ -67,7 +73,7 @@ def audit(primary: DataFrame, replica: DataFrame, per_file: int = RECORDS_PER_FI
     """
     both = written(leaves(primary).withColumn("side", F.lit(0)).union(leaves(replica).withColumn("side", F.lit(1))).withColumnRenamed("slot", "node"))
     far = both.agg(F.max(F.abs("node"))).first()[0] or 0
-    levels = [both.select("side", "node", "digest")]
+    levels = [both.select("side", "node", "digest", "length")]
     while FANOUT ** (len(levels) - 1) <= far:
         levels.append(written(parents(levels[-1])))
     found = None

@@ -277,3 +277,12 @@ def test_pipeline(spark):
     # stage by stage is the same as run()
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == docs.count() > 100
+
+
+def test_nodes_vouch_for_offset_ranges(spark):
+    schema = "side int, node long, digest string, length long"
+    at = lambda *rows: {(r.side, r.node): (r.digest, r.length) for r in warc.parents(spark.createDataFrame(rows, schema)).collect()}
+    one = at((0, 0, "a", 5), (0, 1, "b", 7), (0, 16, "c", 1), (1, 0, "a", 7), (1, 1, "b", 5), (1, 16, "c", 1))
+    assert one[0, 0] != one[1, 0] and one[0, 0][1] == one[1, 0][1] == 12 and one[0, 1] == one[1, 1]
+    want = '[{"node":0,"start":0,"end":5,"digest":"a"},{"node":1,"start":5,"end":12,"digest":"b"}]'
+    assert one[0, 0][0] == hashlib.sha256(want.encode()).hexdigest()
