@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, media, near_dedup, packing, pieces, quality, toxicity, warc
+from . import chat, exact_dedup, langid, media, near_dedup, packing, pieces, quality, toxicity, turn_repair, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_packing": packing.op8,
         "op9_language_id": langid.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op13_turn_repair": turn_repair.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": warc.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op5_warc_fixity": warc.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op13_turn_repair": turn_repair.OP13_SQL}
