@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, media, near_dedup, packing, pieces, quality, runs, toxicity, turn_repair, warc
+from . import chat, exact_dedup, langid, maxent, media, near_dedup, packing, pieces, quality, runs, toxicity, turn_repair, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8,
         "op9_language_id": langid.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op11_maxent": maxent.op11,
         "op12_periodic_runs": runs.op12,
         "op13_turn_repair": turn_repair.op13,
     }
