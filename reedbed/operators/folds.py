@@ -1,29 +1,36 @@
 """Reducers whose choices depend on all earlier ones: a fold over each (signal_id, segment).
 
-Spark deals the series out in blocks of at most ``BLOCK`` samples of a segment, and a task sees one block at a time. A
-fold starts anew with each block, so a segment of any number of rows needs no more memory than one block. ``bounded``
-keeps ``capacity`` samples, drops the one of least importance when full, and lets the oldest out every ``overload``
-arrivals.
+Spark deals the series out by segment and sorts it, and a task reads its segments as one stream of Arrow batches: a fold takes a
+sample at a time and holds its own state alone, so a segment may have any number of rows. ``bounded`` keeps ``capacity``
+samples, drops the one of least importance when full, and lets the oldest out every ``overload`` arrivals. ``Door`` and
+``Pieces`` hold two samples and two slopes, ``Triangles`` two buckets.
+
+A tolerance that meets a budget is found by halving. A segment of at most ``BLOCK`` samples is halved over in the task that holds
+it; a longer one is read again for every ``DEPTH`` halvings, with a fold for each tolerance that they can reach. Both take the
+same steps, so results do not depend on ``BLOCK``. Greedy removal looks at a whole segment and holds it.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import discard, written
+from ..functions.scores import weights_at
 from ..sources.series import KEYS
 
 #: Keeps powers and quotients of scores defined at 0.
 TINY = 1e-12
-#: Most samples of a segment that one fold sees.
-BLOCK = 65_536
-#: Weight that a full buffer moves from the first difference to the energy.
-SHIFT = 0.3
+#: Most samples of a segment that are halved over in memory, and halvings of a longer one in one reading.
+BLOCK, HALVINGS, DEPTH = 1 << 20, 50, 2
 #: Policies whose score of a sample depends on its two neighbours alone, as functions of (chord error, span, beta).
 LOCAL = {"interp": lambda e, s, b: e, "area": lambda e, s, b: 0.5 * s * e, "span": lambda e, s, b: e * max(s, 1) ** b}
 SCHEMA = "signal_id string, segment long, idx long, value double"
@@ -72,8 +79,7 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
     if policy == "any_step":  # nothing but the oldest sample is safe
         return np.concatenate(([np.inf], d1[1:]))
     if policy == "adaptive":  # the buffer is full whenever a score is asked for
-        first, second, third = max(0.01, weights[0] - SHIFT / 2), weights[1], min(0.95, weights[2] + SHIFT)
-        weights = tuple(w / (first + second + third) for w in (first, second, third))
+        weights = weights_at(1.0, *weights)
     ew = energy(x, window)
     with np.errstate(divide="ignore"):
         if policy == "geometric":
@@ -166,6 +172,162 @@ class Buffer:
         return list(zip(self.places, self.values, strict=True))
 
 
+class Filled:
+    """Fill, then evict: a sample is taken before the one to go is chosen, none leaves before the end."""
+
+    def __init__(self, capacity: int, policy: str = "interp", **options):
+        self.buffer, self.room = Buffer(math.inf, math.inf, policy, **options), max(capacity, 2)
+
+    def push(self, place: int, value: float) -> None:
+        self.buffer.push(place, value)
+        if len(self.buffer.places) > self.room:
+            self.buffer._remove(self.buffer.victim())
+
+    def rest(self) -> list[tuple[int, float]]:
+        return self.buffer.rest()
+
+
+class Door:
+    """Swinging door: store the sample before the one at which the door from the last stored sample closes. Both ends stay. The
+    fields are all of its state."""
+
+    def __init__(self, tolerance: float, at: tuple[int, float] | None = None, last: tuple[int, float] | None = None, low: float = -math.inf, high: float = math.inf):
+        self.tolerance, self.at, self.last, self.low, self.high = tolerance, at, last, low, high
+
+    def _narrow(self, place: int, value: float) -> None:
+        run, (_, base) = place - self.at[0], self.at
+        self.low, self.high = max(self.low, (value - self.tolerance - base) / run), min(self.high, (value + self.tolerance - base) / run)
+
+    def push(self, place: int, value: float) -> tuple[int, float] | None:
+        """Takes a sample; returns one that is stored."""
+        out, last = None, self.last
+        self.last = (place, value)
+        if self.at is None:
+            self.at = out = self.last
+            return out
+        self._narrow(place, value)
+        if self.low > self.high and last[0] > self.at[0]:
+            self.at = out = last
+            self.low, self.high = -math.inf, math.inf
+            self._narrow(place, value)
+        return out
+
+    def rest(self) -> list[tuple[int, float]]:
+        return [] if self.at == self.last else [self.last]
+
+
+class Pieces(Door):
+    """Greedy segments: store the sample before the one whose chord from the last stored sample leaves a sample between
+    them farther than ``tolerance``. ``low`` and ``high`` are the slopes that pass all samples between."""
+
+    def push(self, place: int, value: float) -> tuple[int, float] | None:
+        out, last = None, self.last
+        self.last = (place, value)
+        if self.at is None:
+            self.at = out = self.last
+            return out
+        if last[0] > self.at[0]:
+            self._narrow(*last)
+        if not self.low <= (value - self.at[1]) / (place - self.at[0]) <= self.high:
+            self.at = out = last
+            self.low, self.high = -math.inf, math.inf
+        return out
+
+
+class Triangles:
+    """Largest-triangle-three-buckets of ``n`` samples down to ``target``: a bucket's sample is chosen when the next bucket is
+    full. It holds two buckets."""
+
+    def __init__(self, n: int, target: int):
+        self.n, self.target, self.bucket, self.count, self.held, self.at = n, target, 0, 0, [], None
+        self.size = (n - 2) / (target - 2) if 2 < target < n else 0.0
+
+    def push(self, place: int, value: float) -> tuple[int, float] | None:
+        nth, self.count = self.count, self.count + 1
+        if self.target >= self.n or nth in (0, self.n - 1) and self.target < 3:
+            return place, value
+        if self.target < 3:
+            return None
+        if not nth:
+            self.at = (place, value)
+            return self.at
+        self.held.append((place, value))
+        b = self.bucket
+        low, high, far = (int((b + i) * self.size) + 1 for i in range(3))
+        if b == self.target - 2 or self.count < min(far, self.n):
+            return None
+        cut = high - low
+        t, x = np.array([h[0] for h in self.held], dtype=np.float64), np.array([h[1] for h in self.held])
+        tm, xm = (t[cut:].mean(), x[cut:].mean()) if len(t) > cut else (place, value)
+        areas = np.abs((self.at[0] - tm) * (x[:cut] - self.at[1]) - (self.at[0] - t[:cut]) * (xm - self.at[1])) * 0.5
+        self.at = self.held[int(areas.argmax())]
+        self.held, self.bucket = self.held[cut:], b + 1
+        return self.at
+
+    def rest(self) -> list[tuple[int, float]]:
+        return self.held[-1:] if self.size else []
+
+
+class Within:
+    """All samples of a segment, kept by ``kind`` at the least tolerance that halving finds for ``target``."""
+
+    def __init__(self, kind: type[Door], target: int, halvings: int = HALVINGS):
+        self.kind, self.target, self.halvings, self.places, self.values = kind, target, halvings, array("q"), array("d")
+
+    def push(self, place: int, value: float) -> None:
+        self.places.append(place)
+        self.values.append(value)
+
+    def rest(self) -> list[tuple[int, float]]:
+        rows = list(zip(self.places, self.values, strict=True))
+        low, high = 0.0, bracket(min(self.values), max(self.values)) if rows else 0.0
+        for _ in range(self.halvings):
+            middle = (low + high) / 2
+            low, high = (low, middle) if sum(1 for _ in kept(self.kind(middle), rows)) <= self.target else (middle, high)
+        return list(kept(self.kind(high), rows))
+
+
+def bracket(least: float, most: float) -> float:
+    return float(most - least) + 1e-9
+
+
+class Halved:
+    """Some halvings of a bracket of tolerances in one reading: a fold for each tolerance that they can reach. Its rest is the
+    new bracket, as two samples: 0 the lower end, 1 the upper one."""
+
+    def __init__(self, kind: type[Door], target: int, low: float, high: float, depth: int):
+        self.target, self.low, self.high, self.depth = target, low, high, depth
+        self.folds: dict[float, list] = {}
+        self._reach(kind, low, high, depth)
+
+    def _reach(self, kind, low, high, depth) -> None:
+        middle = (low + high) / 2
+        if depth:
+            self.folds[middle] = [kind(middle), 0]
+            self._reach(kind, low, middle, depth - 1)
+            self._reach(kind, middle, high, depth - 1)
+
+    def push(self, place: int, value: float) -> None:
+        for own in self.folds.values():
+            own[1] += own[0].push(place, value) is not None
+
+    def rest(self) -> list[tuple[int, float]]:
+        low, high = self.low, self.high
+        for _ in range(self.depth):
+            middle = (low + high) / 2
+            fold, count = self.folds[middle]
+            low, high = (low, middle) if count + len(fold.rest()) <= self.target else (middle, high)
+        return [(0, low), (1, high)]
+
+
+def kept(fold, rows):
+    """Samples that ``fold`` lets out of the samples ``rows``."""
+    for place, value in rows:
+        if (out := fold.push(place, value)) is not None:
+            yield out
+    yield from fold.rest()
+
+
 def bounded_places(x: np.ndarray, capacity: int, overload: int, policy: str, **options) -> list[int]:
     """Places that leave the buffer alive: drained ones in order, then what is left."""
     buffer = Buffer(capacity, overload, policy, **options)
@@ -175,12 +337,7 @@ def bounded_places(x: np.ndarray, capacity: int, overload: int, policy: str, **o
 
 def evicted_places(x: np.ndarray, capacity: int, policy: str = "interp", **options) -> list[int]:
     """Fill, then evict: a sample is taken before the one to go is chosen, none leaves alive, ``capacity`` remain."""
-    buffer, room = Buffer(len(x) + 1, len(x) + 1, policy, **options), max(capacity, 2)
-    for i, v in enumerate(x.tolist()):
-        buffer.push(i, v)
-        if len(buffer.places) > room:
-            buffer._remove(buffer.victim())
-    return buffer.places
+    return [i for i, _ in kept(Filled(capacity, policy, **options), enumerate(x.tolist()))]
 
 
 def greedy_places(x: np.ndarray, target: int, area: bool = False) -> list[int]:
@@ -211,121 +368,155 @@ def greedy_places(x: np.ndarray, target: int, area: bool = False) -> list[int]:
 
 
 def lttb_places(x: np.ndarray, target: int) -> list[int]:
-    """Largest-triangle-three-buckets; all samples if ``target`` is not below their number, both ends if it is under 3."""
-    n = len(x)
-    if target >= n:
-        return list(range(n))
-    if target < 3:
-        return [0, n - 1] if n > 1 else list(range(n))
-    size, at, out = (n - 2) / (target - 2), 0, [0]
-    for b in range(target - 2):
-        low, high = int(b * size) + 1, int((b + 1) * size) + 1
-        far = min(int((b + 2) * size) + 1, n)
-        tm, xm = (np.arange(high, far).mean(), x[high:far].mean()) if far > high else (n - 1, x[n - 1])
-        i = np.arange(low, high)
-        areas = np.abs((at - tm) * (x[i] - x[at]) - (at - i) * (xm - x[at])) * 0.5
-        at = int(i[areas.argmax()])
-        out.append(at)
-    return [*out, n - 1]
+    """All samples if ``target`` is not below their number, both ends if it is under 3."""
+    return [i for i, _ in kept(Triangles(len(x), target), enumerate(x.tolist()))]
 
 
 def door_places(x: np.ndarray, tolerance: float) -> list[int]:
-    """Swinging door: store the sample before the one at which the door from the last stored sample closes."""
-    n, x = len(x), x.tolist()
-    if n < 3:
-        return list(range(n))
-    out, high, low = [0], np.inf, -np.inf
-    for i in range(1, n):
-        at = out[-1]
-        high, low = min(high, (x[i] + tolerance - x[at]) / (i - at)), max(low, (x[i] - tolerance - x[at]) / (i - at))
-        if low > high and i - 1 > at:
-            out.append(i - 1)
-            at = i - 1
-            high, low = x[i] + tolerance - x[at], x[i] - tolerance - x[at]
-    return out if out[-1] == n - 1 else [*out, n - 1]
+    return [i for i, _ in kept(Door(tolerance), enumerate(x.tolist()))]
 
 
 def piece_places(x: np.ndarray, tolerance: float) -> list[int]:
-    """Greedy segments: store the sample before the one whose chord from the last stored sample leaves a sample between
-    them farther than ``tolerance``; both ends are kept."""
-    n, x = len(x), x.tolist()
-    if n < 3:
-        return list(range(n))
-    out, at, low, high = [0], 0, -np.inf, np.inf  # slopes that pass all samples since the last stored one
-    for i in range(2, n):
-        between, run = x[i - 1] - x[at], i - 1 - at
-        if run:
-            low, high = max(low, (between - tolerance) / run), min(high, (between + tolerance) / run)
-        if not low <= (x[i] - x[at]) / (i - at) <= high:
-            out.append(i - 1)
-            at, low, high = i - 1, -np.inf, np.inf
-    return out if out[-1] == n - 1 else [*out, n - 1]
-
-
-def within(x: np.ndarray, target: int, places, halvings: int = 50) -> list[int]:
-    """The run of ``places(x, tolerance)`` of least tolerance, by bisection, that keeps at most ``target`` samples."""
-    low, high = 0.0, float(x.max() - x.min()) + 1e-9 if len(x) else 0.0
-    for _ in range(halvings):
-        middle = (low + high) / 2
-        if len(places(x, middle)) <= target:
-            high = middle
-        else:
-            low = middle
-    return places(x, high)
+    return [i for i, _ in kept(Pieces(tolerance), enumerate(x.tolist()))]
 
 
-def blocks_of(series: DataFrame):
-    """The series grouped for a fold. Blocks lie within segments, so a series that is dealt out by segment stays put."""
-    return series.select(*KEYS, F.floor(F.col("idx") / BLOCK).alias("block"), "idx", "value").groupBy(*KEYS, "block")
+def within(x: np.ndarray, target: int, kind: type[Door], halvings: int = HALVINGS) -> list[int]:
+    """The run of ``kind`` of least tolerance, by bisection, that keeps at most ``target`` samples."""
+    return [i for i, _ in kept(Within(kind, target, halvings), enumerate(x.tolist()))]
 
 
-def in_order(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A block by place, and its values."""
-    own = group.take(pc.sort_indices(group["idx"])).select([*KEYS, "idx", "value"])
-    return own, own["value"].to_numpy()
+def in_sequence(series: DataFrame, *more: str) -> DataFrame:
+    """The series with its length ``n`` and place ``nth``, each segment whole and sorted in one partition. The windows ask for
+    just that partitioning and order, so a series that is dealt out by segment is not shuffled again."""
+    order = Window.partitionBy(*KEYS).orderBy("idx")
+    n = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return series.select(*KEYS, "idx", "value", *more, n.alias("n"), F.row_number().over(order).alias("nth"))
 
 
-def folded(series: DataFrame, places) -> DataFrame:
-    """Survivors of every block of every segment under ``places(values)``."""
+def streamed(rows: DataFrame, make, *more: str) -> DataFrame:
+    """Survivors of each segment of ``rows`` (from ``in_sequence``) under the folds that ``make(row)`` gives for its first row, a
+    tuple of n and the columns ``more``. Their number in the list is ``config``. Memory is the folds' state and some batches."""
+
+    def run(batches):
+        names = ("signal_id", "segment", "idx", "value")
+        now, folds, out = (), [], []
+
+        def end():
+            for i, fold in enumerate(folds):
+                out.extend((*now, *left, i) for left in fold.rest())
+
+        def let_out():
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(made, [*names, "config"])
+
+        for batch in batches:
+            rest = list(zip(*(batch.column(c).to_pylist() for c in ("n", *more)), strict=True))
+            for at, (signal, segment, place, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if (signal, segment) != now:
+                    end()
+                    now, folds = (signal, segment), make(rest[at])
+                for i, fold in enumerate(folds):
+                    if (left := fold.push(place, value)) is not None:
+                        out.append((signal, segment, *left, i))
+            if len(out) > 8192:
+                yield let_out()
+        end()
+        yield let_out()
+
+    return rows.select(*KEYS, "idx", "value", "n", "nth", *more).mapInArrow(run, f"{SCHEMA}, config int")
 
-    def keep(group: pa.Table) -> pa.Table:
-        own, x = in_order(group)
-        return own.take(pa.array(sorted(places(x)), pa.int64()))
 
-    return blocks_of(series).applyInArrow(keep, SCHEMA)
+def alone(series: DataFrame, make, *more: str) -> DataFrame:
+    """Survivors under one fold for each segment."""
+    return streamed(in_sequence(series, *more), lambda row: [make(*row)], *more).drop("config")
 
 
 def bounded(series: DataFrame, capacity: int, overload: int, policy: str = "interp", **options) -> DataFrame:
-    return folded(series, lambda x: bounded_places(x, capacity, overload, policy, **options))
+    return alone(series, lambda n: Buffer(capacity, overload, policy, **options))
 
 
 def evicted(series: DataFrame, capacity: int, policy: str = "interp", **options) -> DataFrame:
-    return folded(series, lambda x: evicted_places(x, capacity, policy, **options))
+    return alone(series, lambda n: Filled(capacity, policy, **options))
+
+
+def at_tolerance(series: DataFrame, kind: type[Door], tolerance: float) -> DataFrame:
+    """Survivors of ``Door`` or ``Pieces`` at a given tolerance."""
+    return alone(series, lambda n: kind(tolerance))
+
+
+def with_share(series: DataFrame, share: int) -> DataFrame:
+    """The series with a ``target`` of its length div ``share``, 2 at least."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return series.select(*KEYS, "idx", "value", F.greatest(F.lit(2), F.floor(n / share)).alias("target"))
+
+
+def with_target(series: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The series with the number of its ``survivors`` as ``target``; series without survivors are left out."""
+    counts = survivors.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("target"))
+    return series.join(counts, KEYS).select(*KEYS, "idx", "value", "target")
+
+
+def greedy_to(rows: DataFrame, area: bool = False) -> DataFrame:
+    """Greedy removal down to ``target``. A task holds a whole segment, as each choice is over all that is left."""
+
+    def keep(group: pa.Table) -> pa.Table:
+        own = group.take(pc.sort_indices(group["idx"]))
+        left = greedy_places(own["value"].to_numpy(), own["target"][0].as_py(), area)
+        return own.take(pa.array(left, pa.int64())).select([*KEYS, "idx", "value"])
+
+    return rows.groupBy(*KEYS).applyInArrow(keep, SCHEMA)
+
+
+def lttb_to(rows: DataFrame) -> DataFrame:
+    return alone(rows, Triangles, "target")
+
+
+def tolerance_to(rows: DataFrame, kind: type[Door], halvings: int = HALVINGS) -> DataFrame:
+    """Survivors of ``kind`` at the least tolerance, by bisection, that keeps at most ``target`` samples."""
+    longest = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    sequence = in_sequence(rows, "target")
+    short = streamed(sequence.filter(F.col("n") <= BLOCK), lambda row: [Within(kind, row[1], halvings)], "target").drop("config")
+    if longest <= BLOCK:
+        return short
+    long = written(rows.join(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), KEYS).drop("n"))
+    ends = written(long.groupBy(*KEYS).agg(F.lit(0.0).alias("low"), (F.max("value") - F.min("value") + F.lit(1e-9)).alias("high")))
+    for done in range(0, halvings, DEPTH):
+        depth = min(DEPTH, halvings - done)
+        found = alone(long.join(ends, KEYS), lambda n, target, low, high, depth=depth: Halved(kind, target, low, high, depth), "target", "low", "high")
+        new = written(found.groupBy(*KEYS).agg(F.min_by("value", "idx").alias("low"), F.max_by("value", "idx").alias("high")))
+        discard(ends)
+        ends = new
+    return short.unionByName(alone(long.join(ends, KEYS), lambda n, high: kind(high), "high"))
 
 
 def greedy(series: DataFrame, share: int, area: bool = False) -> DataFrame:
-    return folded(series, lambda x: greedy_places(x, max(2, len(x) // share), area))
+    return greedy_to(with_share(series, share), area)
 
 
 def lttb(series: DataFrame, share: int) -> DataFrame:
-    return folded(series, lambda x: lttb_places(x, max(2, len(x) // share)))
+    return lttb_to(with_share(series, share))
 
 
 def swinging_door(series: DataFrame, share: int) -> DataFrame:
-    return folded(series, lambda x: within(x, max(2, len(x) // share), door_places))
+    return tolerance_to(with_share(series, share), Door)
 
 
 def piecewise(series: DataFrame, share: int) -> DataFrame:
-    return folded(series, lambda x: within(x, max(2, len(x) // share), piece_places))
+    return tolerance_to(with_share(series, share), Pieces)
 
 
-def swept(series: DataFrame, configs: list[dict]) -> DataFrame:
-    """Survivors of ``bounded`` under each of ``configs`` (its keyword arguments), with ``config``, the place in the list.
-    One shuffle for the whole sweep: a block meets all configurations in the task that holds it."""
+def at_online_budget(series: DataFrame, capacity: int, overload: int, policy: str = "interp") -> DataFrame:
+    """(method, keys, idx, value): survivors of the online buffer and of each offline method that is given the online count
+    of the same segment as its budget. Greedy removal and the triangles keep exactly that many; door and segments the most that
+    a tolerance allows."""
+    online = written(bounded(series, capacity, overload, policy))
+    rows = with_target(series, online)
+    methods = {"online": online, "greedy_interp": greedy_to(rows), "greedy_area": greedy_to(rows, area=True), "lttb": lttb_to(rows), "door": tolerance_to(rows, Door), "pieces": tolerance_to(rows, Pieces)}
+    return reduce(DataFrame.unionByName, [own.select(F.lit(name).alias("method"), *KEYS, "idx", "value") for name, own in methods.items()])
 
-    def keep(group: pa.Table) -> pa.Table:
-        own, x = in_order(group)
-        parts = [own.take(pa.array(sorted(bounded_places(x, **c)), pa.int64())) for c in configs]
-        return pa.concat_tables([p.append_column("config", pa.array([i] * len(p), pa.int32())) for i, p in enumerate(parts)])
 
-    return blocks_of(series).applyInArrow(keep, f"{SCHEMA}, config int")
+def swept(series: DataFrame, configs: list[dict]) -> DataFrame:
+    """Survivors of ``bounded`` under each of ``configs`` (its keyword arguments), with ``config``, the place in the list.
+    One shuffle for the whole sweep: a segment meets all configurations in the task that reads it."""
+    return streamed(in_sequence(series), lambda row: [Buffer(**c) for c in configs])

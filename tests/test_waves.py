@@ -47,7 +47,7 @@ def test_policies_by_hand():
         "least": np.minimum(np.minimum(w[0] * d1, w[1] * d2), w[2] * ew),
         "geometric": (d1 + 1e-12) ** w[0] * (d2 + 1e-12) ** w[1] * (ew + 1e-12) ** w[2],
         "harmonic": 1 / (w[0] / (d1 + 1e-12) + w[1] / (d2 + 1e-12) + w[2] / (ew + 1e-12)),
-        "adaptive": (0.01 * d1 + 0.3 * d2 + 0.9 * ew) / 1.21,
+        "adaptive": (0.025 * d1 + 0.3 * d2 + 0.75 * ew) / 1.075,
     }.items():
         got = folds.importance(policy, t, x)
         assert np.isinf(got[[0, -1]]).all() and np.allclose(got[1:-1], want[1:-1])
