@@ -287,6 +287,23 @@ class Within:
         return list(kept(self.kind(high), rows))
 
 
+class Tuned(Within):
+    """A tolerance for ``target`` by doubling an upper end from 1, then halving: the middle of the last bracket. Its rest is one pair, how
+    many samples ``kind`` keeps at that tolerance and the tolerance. It holds the segment's samples."""
+
+    def rest(self) -> list[tuple[int, float]]:
+        rows = list(zip(self.places, self.values, strict=True))
+        count = lambda tolerance: sum(1 for _ in kept(self.kind(tolerance), rows))
+        low, high = 1e-9, 1.0
+        while count(high) > self.target and high <= 1e9:
+            high *= 2
+        for _ in range(self.halvings):
+            middle = 0.5 * (low + high)
+            low, high = (middle, high) if count(middle) > self.target else (low, middle)
+        middle = 0.5 * (low + high)
+        return [(count(middle), middle)] if rows else []
+
+
 def bracket(least: float, most: float) -> float:
     return float(most - least) + 1e-9
 
@@ -490,6 +507,12 @@ def tolerance_to(rows: DataFrame, kind: type[Door], halvings: int = HALVINGS) ->
     return short.unionByName(alone(long.join(ends, KEYS), lambda n, high: kind(high), "high"))
 
 
+def tuned(rows: DataFrame, kind: type[Door], halvings: int = 60) -> DataFrame:
+    """(keys, tolerance, retained): unlike ``tolerance_to``, which returns the upper end of its bracket, the middle, at which a segment may
+    keep more than ``target``."""
+    return alone(rows, lambda n, target: Tuned(kind, target, halvings), "target").select(*KEYS, F.col("value").alias("tolerance"), F.col("idx").alias("retained"))
+
+
 def greedy(series: DataFrame, share: int, area: bool = False) -> DataFrame:
     return greedy_to(with_share(series, share), area)
 

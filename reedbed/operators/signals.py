@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.series import KEYS
@@ -86,3 +88,19 @@ def place_costs(marked: DataFrame, bits: int = 16) -> DataFrame:
     each, mean = F.col("rice") / F.col("kept"), F.col("n") / F.col("kept")
     model = F.when(mean <= 1, 2.0).otherwise(F.log2(mean) + 2)
     return g.select(*BY, "kept", "k", F.col("rice").alias("rice_bits"), model.alias("model_bits"), (bits * F.col("n") / (F.col("kept") * (bits + each))).alias("ratio"), (F.col("kept") * (bits + each) / F.col("n")).alias("bits_per_sample"))
+
+
+def gaussian(*parts: Column) -> Column:
+    """A standard normal number that follows from ``parts`` alone: two uniform ones from a digest, by Box and Muller. The same on every run
+    and in any partitioning."""
+    digest = F.md5(F.concat_ws("/", *parts))
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double")
+    return F.sqrt(-2 * F.ln((word(1) + 1) / (2.0**32 + 1))) * F.cos(2 * math.pi * word(9) / 2.0**32)
+
+
+def noisy(series: DataFrame, width: int, share: float, seed: int = 42) -> DataFrame:
+    """The series with Gaussian noise whose deviation is ``share`` of that of the sample's window of ``width`` samples (the last window
+    of a segment may be shorter; a window of equal values stays as it is)."""
+    sd = F.stddev_pop("value").over(Window.partitionBy(*KEYS, F.floor(F.col("idx") / width)))
+    noise = gaussian(F.col("signal_id"), F.col("segment"), F.col("idx"), F.lit(seed))
+    return series.select(*KEYS, "idx", (F.col("value") + share * sd * noise).alias("value"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..operators import folds, signals
 from ..sources.series import KEYS, read_samples
-from .registry import _S
+from .registry import _S, rounded
 
 #: Buffer, arrivals for each one let out, tolerance and share of the queries.
 CAPACITY, OVERLOAD, TOLERANCE, SHARE = 8, 3, 25.0, 4
+#: Window, share of its deviation and seed of the noise.
+WIDTH, NOISE, SEED = 16, 0.5, 42
 EXACT = ("online", "greedy_interp", "greedy_area", "lttb")
 
 
@@ -26,7 +28,9 @@ def queries() -> dict:
     return {
         "door_tolerance": lambda k, d: folds.at_tolerance(s(k, d), folds.Door, TOLERANCE),
         "pieces_tolerance": lambda k, d: folds.at_tolerance(s(k, d), folds.Pieces, TOLERANCE),
+        "noisy_series": lambda k, d: rounded(signals.noisy(s(k, d), WIDTH, NOISE, SEED)),
         "online_budget": _budget,
+        "tuned_door": lambda k, d: folds.tuned(folds.with_share(s(k, d), SHARE), folds.Door),
     }
 
 
@@ -99,6 +103,8 @@ def oracle_sql() -> dict[str, str]:
         "bounded_area": _buffer("0.5 * {d} * {e}"),
         "bounded_span": _buffer("{e} * pow({d}, 0.5)"),
         "fill_then_evict": _filled("{e}"),
+        "noisy_series": f"""WITH {_S}, d AS (SELECT *, stddev_pop(value) OVER (PARTITION BY signal_id, segment, idx // {WIDTH}) AS sd, md5(concat_ws('/', signal_id, segment, idx, {SEED})) AS h FROM s)
+ SELECT signal_id, segment, idx, round(value + {NOISE} * sd * sqrt(-2 * ln((('0x' || h[1:8])::BIGINT + 1.0::DOUBLE) / (pow(2, 32) + 1))) * cos(2 * pi() * ('0x' || h[9:16])::BIGINT / pow(2, 32)), 6) AS value FROM d""",
         "online_budget": f"""WITH {_S}, c AS (SELECT signal_id, segment, count(*) AS n, count(*) // {OVERLOAD} AS j FROM s GROUP BY ALL),
  l AS (SELECT *, CASE WHEN j > 0 THEN greatest(j - 1, j * {OVERLOAD} - {CAPACITY}) ELSE -1 END AS last FROM c)
  SELECT method, signal_id, segment, least(n, j + greatest(0, n - greatest(last + 1, n - {CAPACITY})))::BIGINT AS target, TRUE AS fits
