@@ -29,12 +29,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
-    return exact_dedup.exact_dedup(docs).filter("exact.kept").drop("exact")
+    """One document of each set of equal texts. All columns pass, one named ``exact`` too."""
+    with_group = exact_dedup.exact_dedup(docs.withColumnsRenamed({c: f"own {c}" for c in docs.columns}), text="own text", doc_id="own doc_id")
+    return with_group.filter("exact.kept").drop("exact").withColumnsRenamed({f"own {c}": c for c in docs.columns})
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates. Rows that repeat identifier and text are one document."""
+    """One document of each class of near-duplicates. Rows that repeat identifier and text stay together: the stage before leaves one
+    of them."""
     stay = near_dedup.near_classes(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_hash")), "left_semi")
 
