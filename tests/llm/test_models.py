@@ -120,3 +120,11 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path, stage):
         assert got.count() <= (len(rows) if stage != "packing" else 99)
         if stage != "packing":
             assert got.columns == docs.columns
+
+
+def test_exact_stage_keeps_a_column_of_the_operators_name(spark):
+    """A user's column named exact is not lost, nor one named like those within."""
+    docs = spark.createDataFrame([(1, "a b", "mine", 1), (2, "ab", "other", 2), (3, "c", None, 3)], "doc_id long, text string, exact string, keep_id int")
+    got = corpus_pipeline.exact(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text, r.exact, r.keep_id) for r in got if r.doc_id != 3) == [(1, "a b", "mine", 1)]
+    assert got[0].__fields__ == docs.columns and len(got) == 2
