@@ -72,7 +72,7 @@ def test_pieces_stay_within_tolerance():
     x = np.cumsum(np.random.default_rng(6).normal(size=150))
     kept = folds.piece_places(x, 0.7)
     assert np.abs(np.interp(np.arange(150), kept, x[kept]) - x).max() <= 0.7 + 1e-9
-    assert len(folds.within(x, 15, folds.piece_places)) <= 15
+    assert len(folds.within(x, 15, folds.Pieces)) <= 15
     assert folds.piece_places(np.zeros(2), 1.0) == [0, 1] and folds.piece_places(np.zeros(0), 1.0) == []
 
 
