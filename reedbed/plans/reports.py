@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, folds, peaks, rebuild, results, signals
+from ..operators import classify, folds, rebuild, results, signals
 from ..sources.series import KEYS, read_samples
 from ..streaming import bounded
 from .registry import _BASE, _GAPS, _M, _N, _S, _SPEC, _marked, _metrics, _pairs, rounded
@@ -67,14 +67,6 @@ def _blocks(name, first):
     return lambda k, d: rounded(_BLOCKS[name](k, d).filter("block = 0").drop("block") if first else _BLOCKS[name](k, d))
 
 
-def _peak_scores(spark, d):
-    """Peaks of the rebuilt series against those of the series itself, by method."""
-    marked = _marked(spark, d)
-    truth = peaks.peaks(read_samples(spark, d), apart=5)
-    found = peaks.peaks(rebuild.rebuilt(marked), rebuild.BY, "recon", apart=5)
-    return rounded(peaks.peak_scores(truth, found, within=2))
-
-
 def _sweep(spark, d):
     """Mean SNR of the span policy by exponent and capacity, and the best exponent for each capacity."""
     series = read_samples(spark, d)
@@ -112,7 +104,6 @@ def queries() -> dict:
         "bin_errors": lambda k, d: rounded(_bin_errors(k, d)),
         "standardised": lambda k, d: rounded(signals.standardised(k.read.parquet(f"{d}/embeddings.parquet"))),
         "gap_counts": lambda k, d: signals.gap_counts(_marked(k, d)),
-        "peak_scores": _peak_scores,
         "piecewise_linear": lambda k, d: folds.piecewise(s(k, d), 4),
         "span_sweep": _sweep,
         "stream_bounded_interp": lambda k, d: bounded.replayed(s(k, d), 8, 3),

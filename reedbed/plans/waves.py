@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, envelope, folds, peaks, rebuild
+from ..operators import classify, envelope, folds, rebuild
 from ..sources.series import KEYS, read_samples
 from .registry import _S, _marked, rounded
 
@@ -24,14 +24,6 @@ def _policies(spark, d):
     return kept.select(*KEYS, "idx", "value", F.element_at(F.array(*map(F.lit, POLICIES)), F.col("config") + 1).alias("policy"))
 
 
-def _top_peaks(spark, d):
-    """Peaks above 0.6 of the maximum, matched with the first free one; a series without a peak counts as accurate."""
-    truth = peaks.peaks(read_samples(spark, d), reach=1, share=0.6, apart=4, of_top=True)
-    found = peaks.peaks(rebuild.rebuilt(_marked(spark, d)), rebuild.BY, "recon", reach=1, share=0.6, apart=4, of_top=True)
-    scores = peaks.peak_scores(truth, found, within=2, nearest=False)
-    return rounded(scores.withColumn("accuracy", F.coalesce("f1", F.lit(1.0))))
-
-
 def _diagnosis(spark, d):
     """Peak of the envelope's spectrum near the tone, before and after each reduction."""
     tone = lambda df, by, value: envelope.peak_near(envelope.envelope_spectrum(df, RATE, *BAND, by, value), [*by, "block"], TONE, 0.2)
@@ -62,7 +54,6 @@ def queries() -> dict:
         "fill_then_evict": lambda k, d: folds.evicted(s(k, d), 8),
         "policy_survivors": _policies,
         "tone_peak": _tone,
-        "top_peak_scores": _top_peaks,
     }
 
 

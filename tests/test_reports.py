@@ -3,8 +3,8 @@ import time
 import numpy as np
 import pandas as pd
 
-from reedbed.operators import classify, folds, peaks, results
-from reedbed.plans import reports
+from reedbed.operators import classify, folds, matching, results
+from reedbed.plans import matches, reports
 from reedbed.sources.series import KEYS, read_samples
 from reedbed.streaming import bounded
 
@@ -23,37 +23,16 @@ def slow_peaks(x, share, apart):
     return out
 
 
-def slow_match(truth, found, within):
-    free, pairs = list(truth), []
-    for d in found:
-        near = sorted((abs(t - d), t) for t in free if abs(t - d) <= within)
-        if near:
-            free.remove(near[0][1])
-            pairs.append((near[0][1], d))
-    return pairs
-
-
 def test_peaks_equal_slow(spark):
     rng = np.random.default_rng(4)
     data = {f"s{i}": np.round(rng.normal(size=n), 1) for i, n in enumerate([3, 5, 60, 200])} | {"flat": np.zeros(20)}
     rows = spark.createDataFrame([(k, 0, i, float(v)) for k, x in data.items() for i, v in enumerate(x)], "signal_id string, segment long, idx long, value double")
-    got = {r.signal_id: r.peaks for r in peaks.peaks(rows, apart=7).collect()}
+    got = {k: [] for k in data}
+    for r in matching.peak_places(rows, apart=7).orderBy("idx").collect():
+        got[r.signal_id].append(r.idx)
     assert got == {k: slow_peaks(x.tolist(), 0.5, 7) for k, x in data.items()}
 
 
-def test_match_equals_slow(spark):
-    rng = np.random.default_rng(5)
-    cases = [(sorted(rng.choice(60, 9, replace=False).tolist()), sorted(rng.choice(60, 11, replace=False).tolist())) for _ in range(12)] + [([], [3]), ([3], []), ([], [])]
-    truth = spark.createDataFrame([(str(i), 0, t) for i, (t, _) in enumerate(cases)], "signal_id string, segment long, peaks array<long>")
-    found = spark.createDataFrame([(str(i), 0, f) for i, (_, f) in enumerate(cases)], "signal_id string, segment long, peaks array<long>")
-    got = {int(r.signal_id): r for r in peaks.peak_scores(truth, found, within=3).collect()}
-    for i, (t, f) in enumerate(cases):
-        pairs = slow_match(t, f, 3)
-        assert (got[i].true_positives, got[i].false_positives, got[i].false_negatives) == (len(pairs), len(f) - len(pairs), len(t) - len(pairs))
-        assert got[i].mean_shift == (sum(abs(a - b) for a, b in pairs) / len(pairs) if pairs else None)
-        assert (got[i].f1 is None) == (not t)
-
-
 def test_ranked_value_counts_ties(spark):
     values = [3, 1, 1, 2, 9, 9, None]
     rows = spark.createDataFrame([("a", v) for v in values], "k string, v int")
@@ -108,7 +87,7 @@ def test_replay_equals_batch(spark):
 
 
 def test_peak_scores_are_whole(spark):
-    got = reports.queries()["peak_scores"](spark, SF).toPandas()
+    got = matches.queries()["peak_scores"](spark, SF).toPandas()
     assert set(got["method"]) == set(reports.NAMES) and got["f1"].dropna().between(0, 1).all()
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from reedbed.operators import envelope, folds, peaks
+from reedbed.operators import envelope, folds, matching
 from reedbed.plans import waves
 from tests.oracle import difference
 
@@ -112,9 +112,9 @@ def test_energy_peaks_meet_the_beats():
 def test_tops_by_maximum_and_first_match(spark):
     x = [0, 5, 0, 0, 0, 10, 0, 7, 0, 0, 0, 0, 6.5, 0]
     rows = spark.createDataFrame([("a", 0, i, float(v)) for i, v in enumerate(x)], "signal_id string, segment long, idx long, value double")
-    assert peaks.peaks(rows, reach=1, share=0.6, apart=4, of_top=True).collect()[0].peaks == [5, 12]
-    both = spark.createDataFrame([("a", 0, [4, 6], [6, 8])], "signal_id string, segment long, t array<long>, d array<long>")
-    pairs = lambda nearest: [tuple(p) for p in both.select(peaks.matched(both["t"], both["d"], 2, nearest)).collect()[0][0]]
+    assert sorted(r.idx for r in matching.peak_places(rows, reach=1, share=0.6, apart=4, of_top=True).collect()) == [5, 12]
+    known, found = (spark.createDataFrame([("a", 0, i) for i in at], "signal_id string, segment long, idx long") for at in ([4, 6], [6, 8]))
+    pairs = lambda nearest: sorted((r.t, r.d) for r in matching.matched_places(known, found, within=2, nearest=nearest).collect())
     assert pairs(True) == [(6, 6)] and pairs(False) == [(4, 6), (6, 8)]
 
 
