@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..sources.series import KEYS
 
 
-def centroids(vectors: DataFrame) -> DataFrame:
-    """(label, dim, mean, total, n): one row for each class and dimension."""
-    each = vectors.select("label", F.posexplode("embedding").alias("dim", "x"))
-    return each.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.sum(F.col("x").cast("double")).alias("total"), F.count(F.lit(1)).alias("n"))
+def centroids(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, dim, mean, total, n): one row for each class and dimension."""
+    each = vectors.select(*by, "label", F.posexplode("embedding").alias("dim", "x"))
+    return each.groupBy(*by, "label", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.sum(F.col("x").cast("double")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -22,20 +22,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def leave_one_out(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, predicted): nearest centroid by cosine, each vector left out of its own class's mean by
-    arithmetic on sums. The table of class sums has one row; its size is classes x dimensions, not rows."""
-    sums = centroids(vectors).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "total"))), lambda s: s["total"]).alias("sum"), F.max("n").alias("n"))
-    classes = sums.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("c"), "sum", "n"))).alias("classes"))
+def leave_one_out(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, vec_id, label, predicted): nearest centroid by cosine, each vector left out of its own class's mean by
+    arithmetic on sums; with ``by`` (a method) among the vectors of its own value. The table of class sums has one row for each
+    of those; its size is values x classes x dimensions, not rows."""
+    sums = centroids(vectors, by).groupBy(*by, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "total"))), lambda s: s["total"]).alias("sum"), F.max("n").alias("n"))
+    classes = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("c"), "sum", "n"))).alias("classes"))
     own = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select("vec_id", "label", own.alias("x")).join(F.broadcast(classes))
+    rows = vectors.select(*by, "vec_id", "label", own.alias("x")).join(F.broadcast(classes), list(by) or None)
 
     def similarity(c: Column) -> Column:
         same = F.col("label") == c["c"]
         mean = F.zip_with(c["sum"], F.col("x"), lambda s, x: F.when(same, (s - x) / F.greatest(c["n"] - 1, F.lit(1))).otherwise(s / c["n"]))
         return F.struct((-F.round(cosine(F.col("x"), mean), 12)).alias("d"), c["c"].alias("c"))
 
-    return rows.select("vec_id", "label", F.array_min(F.transform("classes", similarity))["c"].alias("predicted"))
+    return rows.select(*by, "vec_id", "label", F.array_min(F.transform("classes", similarity))["c"].alias("predicted"))
 
 
 def spectrum(series: DataFrame, size: int = 64) -> DataFrame:
