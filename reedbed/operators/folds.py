@@ -78,6 +78,8 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
         return out
     if policy == "any_step":  # nothing but the oldest sample is safe
         return np.concatenate(([np.inf], d1[1:]))
+    if policy == "ranks":
+        return fused_ranks((d1, d2, energy(x, window)), weights)
     if policy == "adaptive":  # the buffer is full whenever a score is asked for
         weights = weights_at(1.0, *weights)
     ew = energy(x, window)
@@ -96,6 +98,21 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
     return out
 
 
+def fused_ranks(metrics, weights) -> np.ndarray:
+    """Weighted sum of each inner sample's ranks by three metrics, scaled to 0..1; equal metrics are ranked by place. The ends are
+    safe where there are more than three samples."""
+    n = len(metrics[0])
+    own = slice(1, n - 1) if n > 3 else slice(0, n)
+    out, count = np.full(n, np.inf), len(metrics[0][own])
+    total = np.zeros(count)
+    for metric, weight in zip(metrics, weights, strict=True):
+        ranks = np.empty(count)
+        ranks[np.argsort(metric[own], kind="stable")] = np.arange(count) / max(count - 1, 1)
+        total = total + weight * ranks
+    out[own] = total
+    return out
+
+
 def frequency_weight(x: np.ndarray, window: int, gamma: float) -> np.ndarray:
     """1 + gamma * the rate of sign changes about the local mean, in the 2 * window + 1 steps from ``window`` before."""
     n = len(x)
@@ -172,6 +189,42 @@ class Buffer:
         return list(zip(self.places, self.values, strict=True))
 
 
+class Scored:
+    """How well a buffer's survivors rebuild the series, without the survivors: ``rest`` gives their number and the SNR in
+    decibels (null if exact, 0 for a silent series). It holds the samples since the survivor that left last, at most as many as
+    arrive while one stays in the buffer: capacity x overload, and the gap before it."""
+
+    def __init__(self, buffer: Buffer):
+        self.buffer, self.since, self.last = buffer, [], None
+        self.signal = self.noise = 0.0
+        self.retained = 0
+
+    def push(self, place: int, value: float) -> None:
+        self.since.append((place, value))
+        self.signal += value * value
+        if (left := self.buffer.push(place, value)) is not None:
+            self._reach(*left)
+
+    def _reach(self, place: int, value: float) -> None:
+        """Errors up to the survivor ``place``; before the first one the series is flat."""
+        at = 0
+        p, v = self.last or (place, value)
+        while at < len(self.since) and self.since[at][0] <= place:
+            i, x = self.since[at]
+            self.noise += (x - (value if i == place or p == place else v + (i - p) / (place - p) * (value - v))) ** 2
+            at += 1
+        del self.since[:at]
+        self.last, self.retained = (place, value), self.retained + 1
+
+    def rest(self) -> list[tuple[int, float | None]]:
+        for left in self.buffer.rest():
+            self._reach(*left)
+        self.noise += sum((x - self.last[1]) ** 2 for _, x in self.since)
+        if self.signal < 1e-15:
+            return [(self.retained, 0.0)]
+        return [(self.retained, 10 * math.log10(self.signal / self.noise) if self.noise >= 1e-15 else None)]
+
+
 class Filled:
     """Fill, then evict: a sample is taken before the one to go is chosen, none leaves before the end."""
 
@@ -543,3 +596,26 @@ def swept(series: DataFrame, configs: list[dict]) -> DataFrame:
     """Survivors of ``bounded`` under each of ``configs`` (its keyword arguments), with ``config``, the place in the list.
     One shuffle for the whole sweep: a segment meets all configurations in the task that reads it."""
     return streamed(in_sequence(series), lambda row: [Buffer(**c) for c in configs])
+
+
+def simplex(parts: int = 10, most: int = 8, least: tuple[float, float, float] = (0.05, 0.0, 0.05)) -> list[tuple[float, float, float]]:
+    """Weights in steps of 1 / ``parts`` that add up to 1, the first of at most ``most`` steps; each is raised to its least and all
+    are scaled again."""
+    out = []
+    for a in range(most + 1):
+        for b in range(parts - a + 1):
+            own = [max(low, w / parts) for low, w in zip(least, (a, b, parts - a - b), strict=True)]
+            out.append(tuple(w / sum(own) for w in own))
+    return out
+
+
+def weights_by_kind(series: DataFrame, kinds: DataFrame, capacity: int, overload: int, grid: list[tuple[float, float, float]], policy: str = "composite") -> DataFrame:
+    """(kind, alpha, beta, gamma, trials, mean_snr_db): the weights of ``grid`` with the greatest mean SNR over the segments of
+    each kind; ``kinds`` has (keys, kind). Exact results are in neither the mean nor its count; of equal means the earlier weights
+    win; kinds without a result are left out. One reading of the series serves the whole grid, and no survivor leaves its task."""
+    scores = streamed(in_sequence(series), lambda row: [Scored(Buffer(capacity, overload, policy, weights=w)) for w in grid])
+    means = scores.join(kinds.select(*KEYS, "kind"), KEYS).filter("value is not null").groupBy("kind", "config").agg(F.avg("value").alias("snr"), F.count(F.lit(1)).alias("trials"))
+    best = means.groupBy("kind").agg(F.max(F.struct(F.round("snr", 9).alias("snr"), (-F.col("config")).alias("c"), "trials")).alias("b"))
+    table = F.array(*[F.array(*map(F.lit, w)) for w in grid])
+    w = F.element_at(table, 1 - F.col("b.c"))
+    return best.select("kind", *[w[i].alias(name) for i, name in enumerate(("alpha", "beta", "gamma"))], F.col("b.trials").alias("trials"), F.col("b.snr").alias("mean_snr_db"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, envelope, folds, rebuild
+from ..operators import classify, envelope, folds, rebuild, signals
 from ..sources.series import KEYS, read_samples
 from .registry import _S, _marked, rounded
 
@@ -18,6 +18,12 @@ POLICIES = (
 )
 
 
+def _weights(spark, d):
+    """Best weights of the composite score for impulsive and for oscillatory series."""
+    series = read_samples(spark, d)
+    return rounded(folds.weights_by_kind(series, signals.profile(series), 8, 3, folds.simplex()))
+
+
 def _policies(spark, d):
     """Survivors under every policy, in one pass over the series."""
     kept = folds.swept(read_samples(spark, d), [{"capacity": 8, "overload": 3, "policy": p} for p in POLICIES])
@@ -48,6 +54,8 @@ def queries() -> dict:
         "band_choice": lambda k, d: rounded(envelope.bands(s(k, d), RATE * 200, least=16)),
         "bin_features": _bins,
         "cross_validation": lambda k, d: rounded(classify.cross_validated(k.read.parquet(f"{d}/embeddings.parquet"), FOLDS)),
+        "weight_search": _weights,
+        "bounded_ranks": lambda k, d: folds.bounded(s(k, d), 8, 3, "ranks"),
         "energy_peaks": lambda k, d: envelope.peaks_by_energy(s(k, d), RATE),
         "envelope_diagnosis": _diagnosis,
         "envelope_spectrum": lambda k, d: rounded(envelope.envelope_spectrum(s(k, d), RATE, *BAND)),
