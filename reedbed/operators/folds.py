@@ -33,6 +33,10 @@ TINY = 1e-12
 BLOCK, HALVINGS, DEPTH = 1 << 20, 50, 2
 #: Policies whose score of a sample depends on its two neighbours alone, as functions of (chord error, span, beta).
 LOCAL = {"interp": lambda e, s, b: e, "area": lambda e, s, b: 0.5 * s * e, "span": lambda e, s, b: e * max(s, 1) ** b}
+#: Weights of first difference, second difference and energy in policies of one of them.
+SINGLE = {"first_order": (1, 0, 0), "second_order": (0, 1, 0), "energy": (0, 0, 1)}
+#: Buffers up to this size are scored by plain loops, as numpy's cost of a call is more than theirs.
+SMALL = 64
 SCHEMA = "signal_id string, segment long, idx long, value double"
 
 
@@ -91,13 +95,42 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
         elif policy == "least":
             out = np.min([w * p for p, w in zip((d1, d2, ew), weights, strict=True)], axis=0)
         else:
-            parts = {"first_order": (1, 0, 0), "second_order": (0, 1, 0), "energy": (0, 0, 1)}.get(policy, weights)
+            parts = SINGLE.get(policy, weights)
             out = parts[0] * d1 + parts[1] * d2 + parts[2] * ew
     if n > 3:
         out[[0, -1]] = np.inf
     return out
 
 
+def linear_weights(policy: str, weights) -> tuple[float, float, float] | None:
+    """Weights of a policy that adds up the three metrics; None for others."""
+    if policy == "adaptive":
+        return weights_at(1.0, *weights)
+    return SINGLE.get(policy, weights if policy == "composite" else None)
+
+
+def least_linear(x: list[float], weights, window: int) -> int | None:
+    """Place of the least weighted sum of the metrics (as in ``importance``, whose steps it takes in the same order), the first of
+    equal ones; None where a score is not finite."""
+    n, (a, b, g) = len(x), weights
+    d1, upto, total = [0.0], [0.0], 0.0
+    for p, q in zip(x, x[1:], strict=False):
+        step = q - p
+        d1.append(abs(step))
+        total += step * step
+        upto.append(total)
+    found, least = None, math.inf
+    for i in range(1, n - 1) if n > 3 else range(n):
+        low, high = max(i - window, 0), min(i + window, n - 1)
+        energy = (upto[high] - upto[low]) / (high - low) if high > low else 0.0
+        score = a * d1[i] + b * (abs(d1[i] - d1[i - 1]) if i > 1 else 0.0) + g * energy
+        if not math.isfinite(score):
+            return None
+        if score < least:
+            found, least = i, score
+    return found
+
+
 def fused_ranks(metrics, weights) -> np.ndarray:
     """Weighted sum of each inner sample's ranks by three metrics, scaled to 0..1; equal metrics are ranked by place. The ends are
     safe where there are more than three samples."""
@@ -141,6 +174,7 @@ class Buffer:
         self.capacity, self.overload, self.policy, self.options = capacity, overload, policy, options
         self.places, self.values, self.arrived = list(places), list(values), arrived
         self.local, self.beta = LOCAL.get(policy), options.get("beta", 0.5)
+        self.linear = linear_weights(policy, options.get("weights", (0.1, 0.3, 0.6))) if capacity <= SMALL else None
         #: Scores of a local policy; each change renews those beside it.
         self.scores = [np.inf] * len(self.places) if self.local else []
         if self.local:
@@ -162,6 +196,8 @@ class Buffer:
             return len(self.places) // 2
         if self.local:
             return self.scores.index(min(self.scores))
+        if self.linear and (at := least_linear(self.values, self.linear, self.options.get("window", 3))) is not None:
+            return at
         scores = importance(self.policy, np.array(self.places, dtype=np.float64), np.array(self.values, dtype=np.float64), **self.options)
         return int(scores.argmin()) if np.isfinite(scores).any() else 0
 

@@ -44,7 +44,7 @@ def _names(spark, d):
 
 def _composite(spark, d):
     scored = with_scores(read_samples(spark, d))
-    return rounded(scored.filter("ie is not null").select(*KEYS, "idx", (F.col("ie") * (1 + GAMMA * F.col("energy"))).alias("score")))
+    return rounded(scored.filter("ie is not null").select(*KEYS, "idx", (F.col("ie") * (1 + GAMMA * F.col("energy"))).alias("score")), 3)
 
 
 def queries() -> dict:
@@ -90,7 +90,7 @@ def oracle_sql() -> dict[str, str]:
  SELECT signal_id, segment, method, n, retained, round(ratio, 6) AS ratio, round(bits, 6) AS bits, round(16 * n / (retained * (16 + bits)), 6) AS code_ratio FROM rw JOIN bt USING (ratio)""",
         "gap_ratios": f"""{_CLASSES} SELECT a.method, a.class, a.n, round(a.m / b.m, 6) AS to_base, round(a.m / o.m, 6) AS to_single FROM c a LEFT JOIN c b ON b.method = 'stride' AND b.class = a.class LEFT JOIN c o ON o.method = a.method AND o.class = 'single'""",
         "name_sets": f"""{_BASE}, u AS ({" UNION ALL ".join(f"SELECT method, '{t}' AS t FROM mt WHERE {w}" for t, w in sets.items())}) SELECT method, string_agg(DISTINCT t, ',' ORDER BY t) AS tables, count(*) AS n FROM u GROUP BY method""",
-        "interp_composite_score": f"WITH {_S}, {_N} SELECT signal_id, segment, idx, round(ie * (1 + {GAMMA} * energy), 6) AS score FROM sc WHERE ie IS NOT NULL",
+        "interp_composite_score": f"WITH {_S}, {_N} SELECT signal_id, segment, idx, round(ie * (1 + {GAMMA} * energy), 3) AS score FROM sc WHERE ie IS NOT NULL",
         "delta_decode": f"WITH {_S}, {_N}, {_M} SELECT signal_id, segment, idx FROM mk WHERE kept AND method = 'top_ie'",
         "long_series": f"WITH {_S} SELECT * FROM s QUALIFY count(*) OVER (PARTITION BY signal_id, segment) >= {LONG}",
     }

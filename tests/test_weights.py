@@ -62,6 +62,15 @@ def test_ranks_equal_slow(capacity, overload):
     assert folds.bounded_places(x, capacity, overload, "ranks") == out + held
 
 
+@pytest.mark.parametrize("policy", ["composite", "adaptive", "first_order", "second_order", "energy"])
+@pytest.mark.parametrize("capacity", [1, 2, 3, 4, 9, 30])
+def test_loops_choose_as_whole_scores(policy, capacity, monkeypatch):
+    x = np.round(np.random.default_rng(capacity).normal(size=200), 1)
+    plain = folds.bounded_places(x, capacity, 4, policy)
+    monkeypatch.setattr(folds, "SMALL", 0)
+    assert plain == folds.bounded_places(x, capacity, 4, policy)
+
+
 def test_best_weights_equal_loops(spark):
     rng, grid = np.random.default_rng(12), folds.simplex(4, 3)
     x = {k: np.round(np.cumsum(rng.normal(size=n)), 2) for k, n in enumerate((70, 90, 4, 60))}
