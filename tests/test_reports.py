@@ -3,7 +3,7 @@ import time
 import numpy as np
 import pandas as pd
 
-from reedbed.operators import classify, folds, matching, results
+from reedbed.operators import classify, folds, matching, results, signals
 from reedbed.plans import matches, reports
 from reedbed.sources.series import KEYS, read_samples
 from reedbed.streaming import bounded
@@ -98,3 +98,12 @@ def test_spectrum_reads_every_sample(spark):
         values = [v for s, _, i, v in rows if s == name and i // 512 == block]
         mags = [r.mag for r in sorted((r for r in got if (r.signal_id, r.block) == (name, block)), key=lambda r: r.k)]
         assert len(values) == n and np.allclose(mags, np.abs(np.fft.fft(values))[: n // 2], atol=1e-6)
+
+
+def test_crossings_do_not_depend_on_the_order_of_rows(spark):
+    """0.1 is the mean of each series, but sums in some orders miss it by a rounding error."""
+    x = [0.0, 0.1, 0.2, 0.3, 0.1, 0.1, 0.0, 0.1, 0.2, -0.1]
+    orders = [np.random.default_rng(i).permutation(len(x)) for i in range(40)]
+    rows = [(f"s{nth}", 0, int(i), x[i]) for nth, order in enumerate(orders) for i in order]
+    got = signals.profile(spark.createDataFrame(rows, "signal_id string, segment long, idx long, value double")).collect()
+    assert {r.crossing_rate for r in got} == {0.1}
