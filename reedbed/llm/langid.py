@@ -17,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import held_out, part, thinned
+from .sampling import held_out, part
 from .tables import added, table
 from .words import LETTERS, WordTable, held
 
 ORDER = 4
 BEGIN, END = "\x01", "\x02"
-#: Rows that each language's model is counted on, and rows that calibrate it, at most (about: taken by hash).
-ROWS_PER_LANGUAGE = 2500
-CALIBRATION_ROWS = 4000
+#: Distinct words of a language that a task holds while it counts.
+MOST_WORDS = 200_000
 #: A text is rejected beyond this many standard deviations of unseen training texts.
 REJECT_Z = 8.0
 UNKNOWN = "und"
@@ -48,17 +47,26 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(batches, text: str, lang: str):
-    """Counts of a partition's 4-grams by language, from the counts of its words."""
+    """Counts of a partition's 4-grams by language, from the counts of its words; a language's words are let out when there are
+    ``MOST_WORDS``."""
     found: dict[str, Counter] = {}
-    for b in batches:
-        for t, name in zip(b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True):
-            found.setdefault(name, Counter()).update(words_of(t))
-    for name, counter in found.items():
+
+    def let_out(name: str) -> pa.RecordBatch:
+        counter = found.pop(name)
         words = list(counter)
         keys, per = grams(words)
         own, inverse = np.unique(keys, return_inverse=True)
         n = np.bincount(inverse, weights=np.repeat(np.fromiter(counter.values(), dtype=np.int64, count=len(words)), per), minlength=len(own)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    for b in batches:
+        for t, name in zip(b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True):
+            counter = found.setdefault(name, Counter())
+            counter.update(words_of(t))
+            if len(counter) >= MOST_WORDS:
+                yield let_out(name)
+    for name in list(found):
+        yield let_out(name)
 
 
 @dataclass
@@ -178,22 +186,17 @@ def _entropies(table_: WordTable, model: Model, texts: list[str | None]) -> tupl
     return -sums[:, :width] / np.maximum(symbols, 1)[:, None], symbols
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fitted on rows with a language that are not held out (``sampling.part``): parts 0 and 1 are counted, part 3
-    calibrates. At most about ``rows_per_language`` rows of each language are counted, chosen by hash."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
+    """Fitted on all rows with a language that are not held out (``sampling.part``): parts 0 and 1 are counted, part 3
+    calibrates. The driver gets one row for each distinct 4-gram of a language."""
     labelled = docs.select(docs[text].alias("text"), docs[lang].alias("lang"), docs[doc_id].alias("doc_id")).filter("lang is not null and text is not null")
-    spark = docs.sparkSession
-    totals = {r.lang: r.n for r in labelled.filter(part(F.col("doc_id")) < 2).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals:
+    counted = labelled.filter(part(F.col("doc_id")) < 2).select("text", "lang")
+    grams_ = counted.mapInArrow(lambda it: count_grams(it, "text", "lang"), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    if grams_.empty:
         return Model([], [Level(*[np.zeros(0, dtype=np.uint64), np.zeros((0, 0))] * 2) for _ in range(ORDER)], 1)
-    share = F.lit(0)
-    for name, n in totals.items():
-        share = F.when(F.col("lang") == name, int(1_000_000 * min(1.0, rows_per_language / n))).otherwise(share)
-    picked = labelled.filter((part(F.col("doc_id")) < 2) & (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share))
-    grams_ = picked.mapInArrow(lambda it: count_grams(it, "text", "lang"), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {name: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for name, g in grams_.groupby("lang")}
     model = kneser_ney(counts)
-    return calibrated(model, thinned(labelled.filter(part(F.col("doc_id")) == 3), "doc_id", CALIBRATION_ROWS))
+    return calibrated(model, labelled.filter(part(F.col("doc_id")) == 3))
 
 
 #: Temperatures that calibration chooses from.

@@ -1,11 +1,14 @@
+import collections
 import hashlib
 import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reedbed.llm import chat, exact_dedup, jpeg, langid, media, near_dedup, packing, pieces, quality, registry, tokens, toxicity, warc
+from reedbed.llm.sampling import part
 from reedbed.llm.tables import table
 from tests.oracle import difference
 
@@ -286,3 +289,24 @@ def test_nodes_vouch_for_offset_ranges(spark):
     assert one[0, 0] != one[1, 0] and one[0, 0][1] == one[1, 0][1] == 12 and one[0, 1] == one[1, 1]
     want = '[{"node":0,"start":0,"end":5,"digest":"a"},{"node":1,"start":5,"end":12,"digest":"b"}]'
     assert one[0, 0][0] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_language_counts_all_rows(spark):
+    """Every 4-gram of about 4,000 counted rows of each language is in the model; words are let out in parts."""
+    texts = spark.range(16000).selectExpr("id AS doc_id", "concat('word ', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "if(id % 2 = 0, 'x', 'y') AS lang")
+    model = langid.train(texts)
+    counted = texts.filter(part(texts["doc_id"]) < 2)
+    grams = {k for t in counted.select("text").toPandas()["text"] for k in langid.grams(langid.words_of(t))[0].tolist()}
+    assert set(model.levels[0].keys.tolist()) == grams
+    batch = pa.RecordBatch.from_pydict({"text": ["ab cd ef gh", "ab cd", "ij"], "lang": ["x", "x", "x"]})
+    whole = collections.Counter()
+    for b in langid.count_grams([batch], "text", "lang"):
+        whole.update(dict(zip(b.column("gram").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    few = collections.Counter()
+    langid.MOST_WORDS, most = 2, langid.MOST_WORDS
+    try:
+        for b in langid.count_grams([batch], "text", "lang"):
+            few.update(dict(zip(b.column("gram").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    finally:
+        langid.MOST_WORDS = most
+    assert few == whole
