@@ -1,15 +1,16 @@
 """Envelopes of band-passed series: spectrum, peak near a frequency, diagnosis after reduction, blind choice of a band.
 
-A transform runs in numpy on one block of ``size`` samples of a series at a time, so a group has a bound whatever the
-length of the series; a block shorter than ``least`` samples gives no row. The band-pass is the squared magnitude of a
+A transform runs in numpy on blocks of ``size`` samples of a series, so memory has a bound whatever the length of the series; a
+task reads its blocks as one stream and transforms those of equal length side by side, as a call for each would cost more than
+its work. A block shorter than ``least`` samples gives no row. The band-pass is the squared magnitude of a
 digital Butterworth filter (bilinear, pre-warped), the gain of a forward and backward pass without its edge padding.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.series import KEYS
@@ -17,6 +18,8 @@ from ..sources.series import KEYS
 #: Hz; the widest band is the best one only if no other has as much kurtosis.
 CENTRES = range(500, 5501, 250)
 WIDTHS = (500, 1000, 1500, 2000, 3000)
+#: Samples that a task transforms at a time, or one block.
+ROWS = 1 << 17
 
 
 def band_gain(n: int, rate: float, low: float, high: float, order: int) -> np.ndarray:
@@ -33,33 +36,46 @@ def band_passed(x: np.ndarray, rate: float, low: float, high: float, order: int)
 
 
 def envelope(x: np.ndarray, rate: float, low: float, high: float, order: int = 4) -> np.ndarray:
-    """Magnitude of the analytic signal of the band."""
-    n = len(x)
-    half = np.zeros(n, dtype=complex)
-    half[: n // 2 + 1] = np.fft.rfft(x) * band_gain(n, rate, low, high, order)
-    half[1 : (n + 1) // 2] *= 2
+    """Magnitude of the analytic signal of the band, along the last axis."""
+    return _enveloped(np.fft.rfft(x), x.shape[-1], band_gain(x.shape[-1], rate, low, high, order))
+
+
+def _enveloped(bins: np.ndarray, n: int, gain: np.ndarray) -> np.ndarray:
+    half = np.zeros((*bins.shape[:-1], n), dtype=complex)
+    half[..., : n // 2 + 1] = bins * gain
+    half[..., 1 : (n + 1) // 2] *= 2
     return np.abs(np.fft.ifft(half))
 
 
 def envelope_bins(x: np.ndarray, rate: float, low: float, high: float) -> np.ndarray:
-    e, w = envelope(x, rate, low, high), np.hanning(len(x))
-    return np.abs(np.fft.rfft((e - e.mean()) * w)) * (2 / w.sum())
+    e, w = envelope(x, rate, low, high), np.hanning(x.shape[-1])
+    return np.abs(np.fft.rfft((e - e.mean(-1, keepdims=True)) * w)) * (2 / w.sum())
 
 
-def best_band(x: np.ndarray, rate: float, centres=CENTRES, widths=WIDTHS) -> tuple[float, float, float] | None:
-    """(low, high, kurtosis) of the band whose envelope has the largest excess kurtosis; the first of equal ones."""
-    best = None
+def best_bands(x: np.ndarray, rate: float, centres=CENTRES, widths=WIDTHS) -> np.ndarray:
+    """For each row (low, high, kurtosis) of the band whose envelope has the largest excess kurtosis; the first of equal ones, nan
+    for a flat row."""
+    out, n = np.full((len(x), 3), np.nan), x.shape[-1]
+    bins = np.fft.rfft(x)
     for width in widths:
         for centre in centres:
             low, high = centre - width / 2, centre + width / 2
             if low < 100 or high > 0.495 * rate:
                 continue
-            e = envelope(x, rate, low, high)
-            e = e - e.mean()
-            second = (e * e).mean()
-            if second > 1e-18 and (best is None or (e**4).mean() / second**2 - 3 > best[2]):
-                best = (low, high, float((e**4).mean() / second**2 - 3))
-    return best
+            e = _enveloped(bins, n, band_gain(n, rate, low, high, 4))
+            e = e - e.mean(-1, keepdims=True)
+            second = (e * e).mean(-1)
+            varied = second > 1e-18
+            kurtosis = (e**4).mean(-1) / np.where(varied, second, 1) ** 2 - 3
+            better = varied & ~(kurtosis <= out[:, 2])
+            out[better] = np.stack([np.full(len(x), low), np.full(len(x), high), kurtosis], axis=1)[better]
+    return out
+
+
+def best_band(x: np.ndarray, rate: float, centres=CENTRES, widths=WIDTHS) -> tuple[float, float, float] | None:
+    """``best_bands`` of one series; None if it is flat."""
+    best = best_bands(x[None, :], rate, centres, widths)[0]
+    return None if np.isnan(best[0]) else tuple(best.tolist())
 
 
 def energy_peaks(x: np.ndarray, rate: float, low: float = 5.0, high: float = 15.0, width: float = 0.12, apart: float = 0.2, share: float = 0.3) -> list[int]:
@@ -79,27 +95,50 @@ def energy_peaks(x: np.ndarray, rate: float, low: float = 5.0, high: float = 15.
 
 
 def _by_block(series: DataFrame, by: list[str], value: str, size: int, least: int, schema: str, transform) -> DataFrame:
-    """``transform(values)`` gives the columns of ``schema`` for one block of a series."""
-    types = dict(series.dtypes)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("idx")
-        names = [*by, "block"]
-        out = pd.DataFrame(transform(own["v"].to_numpy()) if len(own) >= least else {}, columns=[c.split()[0] for c in schema.split(", ")])
-        for at, c in enumerate(names):
-            out.insert(at, c, own[c].iloc[0] if len(out) else None)
-        return out
-
+    """``transform(values)`` gives, for blocks of one length as rows of a matrix, the number of each row's results and the columns of
+    ``schema``, row after row."""
+    types, most = dict(series.dtypes), ROWS
+    names = [*by, "block"]
     rows = series.select(*by, F.floor(F.col("idx") / size).alias("block"), "idx", F.col(value).alias("v")).filter("v is not null")
-    return rows.groupBy(*by, "block").applyInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in by), "block bigint", schema]))
+    order = Window.partitionBy(*names).orderBy("idx")
+    n = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.select(*names, "v", n.alias("n"), F.row_number().over(order).alias("nth")).filter(F.col("n") >= least)
+
+    def results(held: list[pa.RecordBatch]):
+        """Of the whole blocks held."""
+        table = pa.Table.from_batches(held).combine_chunks()
+        v, lengths = table["v"].to_numpy(), table["n"].to_numpy()
+        starts = np.flatnonzero(table["nth"].to_numpy() == 1)
+        for length in np.unique(lengths[starts]).tolist():
+            own = starts[lengths[starts] == length]
+            counts, columns = transform(v[own[:, None] + np.arange(length)])
+            at = pa.array(np.repeat(own, counts))
+            out = [*(table[c].take(at).combine_chunks() for c in names), *map(pa.array, columns)]
+            yield pa.RecordBatch.from_arrays(out, [*names, *(c.split()[0] for c in schema.split(", "))])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            firsts = np.flatnonzero(batch.column("nth").to_numpy() == 1)
+            if len(firsts) and count + firsts[-1] >= most:
+                held.append(batch.slice(0, int(firsts[-1])))
+                yield from results(held)
+                batch, held, count = batch.slice(int(firsts[-1])), [], 0
+            held.append(batch)
+            count += batch.num_rows
+        if count:
+            yield from results(held)
+
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in by), "block bigint", schema]))
 
 
 def envelope_spectrum(series: DataFrame, rate: float, low: float, high: float, by: list[str] = KEYS, value: str = "value", size: int = 4096, least: int = 8) -> DataFrame:
     """(by, block, k, freq, mag): bins of the envelope's spectrum, Hann-windowed, without its mean."""
 
-    def bins(x: np.ndarray) -> dict:
+    def bins(x: np.ndarray) -> tuple:
         mag = envelope_bins(x, rate, low, high)
-        return {"k": np.arange(len(mag)), "freq": np.arange(len(mag)) * (rate / len(x)), "mag": mag}
+        k = np.tile(np.arange(mag.shape[1]), len(x))
+        return np.full(len(x), mag.shape[1]), (k, k * (rate / x.shape[1]), mag.ravel())
 
     return _by_block(series, by, value, size, least, "k bigint, freq double, mag double", bins)
 
@@ -107,16 +146,22 @@ def envelope_spectrum(series: DataFrame, rate: float, low: float, high: float, b
 def bands(series: DataFrame, rate: float, by: list[str] = KEYS, value: str = "value", size: int = 4096, least: int = 8, centres=CENTRES, widths=WIDTHS) -> DataFrame:
     """(by, block, low, high, kurtosis): the band chosen without knowledge of a fault; none for a flat block."""
 
-    def choose(x: np.ndarray) -> dict:
-        best = best_band(x, rate, centres, widths)
-        return {} if best is None else dict(zip(("low", "high", "kurtosis"), ([v] for v in best), strict=True))
+    def choose(x: np.ndarray) -> tuple:
+        best = best_bands(x, rate, centres, widths)
+        found = ~np.isnan(best[:, 0])
+        return found.astype(int), tuple(best[found].T.copy())
 
     return _by_block(series, by, value, size, least, "low double, high double, kurtosis double", choose)
 
 
 def peaks_by_energy(series: DataFrame, rate: float, by: list[str] = KEYS, value: str = "value", size: int = 65536, least: int = 8) -> DataFrame:
     """(by, block, place): ``energy_peaks`` of each block; places count from the start of the series."""
-    found = _by_block(series, by, value, size, least, "place bigint", lambda x: {"place": energy_peaks(x, rate)})
+
+    def peaks(x: np.ndarray) -> tuple:
+        found = [energy_peaks(own, rate) for own in x]
+        return np.array([len(f) for f in found]), (np.array([i for f in found for i in f], dtype=np.int64),)
+
+    found = _by_block(series, by, value, size, least, "place bigint", peaks)
     return found.withColumn("place", F.col("block") * size + F.col("place"))
 
 

@@ -126,3 +126,23 @@ def test_waves_equal_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(waves.queries()) - set(waves.oracle_sql())))
 def test_waves_run(spark, name):
     assert waves.queries()[name](spark, SF).count() > 0
+
+
+def test_blocks_of_all_lengths_side_by_side(spark, monkeypatch):
+    """Blocks are transformed by their length, not one by one, and come out as alone, wherever the batches of a task end."""
+    rng = np.random.default_rng(12)
+    data = {f"s{i}": rng.normal(size=n) for i, n in enumerate([7, 8, 9, 9, 33, 40, 40, 100, 257])} | {"flat": np.zeros(40)}
+    rows = spark.createDataFrame([(k, 0, i, float(v)) for k, x in data.items() for i, v in enumerate(x)], "signal_id string, segment long, idx long, value double")
+    calls = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(envelope, "ROWS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = {(r.signal_id, r.block): (r.low, r.high, r.kurtosis) for r in envelope.bands(rows, 12800.0, size=64).collect()}
+        lengths = envelope._by_block(rows.repartition(1), ["signal_id", "segment"], "value", 64, 8, "n bigint", lambda x: (calls.add(1), (np.ones(len(x), dtype=int), (np.full(len(x), x.shape[1]),)))[1]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    blocks = {(k, at // 64): x[at : at + 64] for k, x in data.items() for at in range(0, len(x), 64) if len(x[at : at + 64]) >= 8}
+    want = {at: best for at, x in blocks.items() if (best := envelope.best_band(x, 12800.0))}
+    assert got.keys() == want.keys() and all(np.allclose(got[at], want[at]) for at in want)
+    assert sorted((r.signal_id, r.block, r.n) for r in lengths) == sorted((*at, len(x)) for at, x in blocks.items())
+    assert 0 < calls.value < len(blocks)
