@@ -8,6 +8,9 @@ samples, drops the one of least importance when full, and lets the oldest out ev
 A tolerance that meets a budget is found by halving. A segment of at most ``BLOCK`` samples is halved over in the task that holds
 it; a longer one is read again for every ``DEPTH`` halvings, with a fold for each tolerance that they can reach. Both take the
 same steps, so results do not depend on ``BLOCK``. Greedy removal looks at a whole segment and holds it.
+
+Many short segments are folded side by side, each step one on arrays over segments: a Python step for each sample and fold costs
+more than its work.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +39,29 @@ LOCAL = {"interp": lambda e, s, b: e, "area": lambda e, s, b: 0.5 * s * e, "span
 SINGLE = {"first_order": (1, 0, 0), "second_order": (0, 1, 0), "energy": (0, 0, 1)}
 #: Buffers up to this size are scored by plain loops, as numpy's cost of a call is more than theirs.
 SMALL = 64
+#: Segments of at most ``WIDE`` samples, all below ``HUGE``, are folded side by side, about ``ROWS`` samples at a time.
+WIDE, ROWS, HUGE = 512, 1 << 17, 1e75
 SCHEMA = "signal_id string, segment long, idx long, value double"
 
 
 def chord_error(t: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Distance of each inner sample from the chord between its neighbours; infinite at the ends."""
-    out = np.full(len(x), np.inf)
-    if len(x) > 2:
-        out[1:-1] = np.abs(x[1:-1] - (x[:-2] + (t[1:-1] - t[:-2]) / (t[2:] - t[:-2]) * (x[2:] - x[:-2])))
+    """Distance of each inner sample from the chord between its neighbours; infinite at the ends. Along the last axis, as all scores."""
+    out = np.full(x.shape, np.inf)
+    if x.shape[-1] > 2:
+        out[..., 1:-1] = chord(t, x, slice(1, -1), slice(None, -2), slice(2, None))
     return out
 
 
+def chord(t: np.ndarray, x: np.ndarray, i, p, s) -> np.ndarray:
+    """Distance of the samples ``i`` from the chords between ``p`` and ``s``."""
+    return np.abs(x[..., i] - (x[..., p] + (t[..., i] - t[..., p]) / (t[..., s] - t[..., p]) * (x[..., s] - x[..., p])))
+
+
 def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alpha: float = 0.5, window: int = 3, weights=(0.1, 0.3, 0.6)) -> np.ndarray:
-    """Score of each buffered sample; infinite where it may not go."""
-    n = len(x)
-    span = np.full(n, 0.0)
-    span[1:-1] = t[2:] - t[:-2]
+    """Score of each buffered sample; infinite where it may not go. Buffers of one size may be rows of a matrix."""
+    n = x.shape[-1]
+    span = np.zeros(x.shape)
+    span[..., 1:-1] = t[..., 2:] - t[..., :-2]
     if policy in ("interp", "area", "span", "lookahead", "interp_composite", "interp_frequency"):
         ie = chord_error(t, x)
         if policy == "interp_frequency":
@@ -64,24 +73,26 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
         if policy == "lookahead":
             out = ie.copy()
             for i in range(1, n - 1):
-                keep = np.delete(np.arange(n), i)
-                after = chord_error(t[keep], x[keep])
-                low = min(after[i - 1], after[i]) if n > 3 else np.inf
-                out[i] = ie[i] + alpha * max(0.0, ie[i] - low) if np.isfinite(low) else ie[i]
+                # errors of the two neighbours once the sample is gone
+                after = [chord(t, x, at, p, s) for at, p, s in ((i - 1, i - 2, i + 1), (i + 1, i - 1, i + 2)) if p >= 0 and s < n]
+                if after:
+                    low = np.minimum.reduce(after)
+                    out[..., i] = np.where(np.isfinite(low), ie[..., i] + alpha * np.maximum(0.0, ie[..., i] - low), ie[..., i])
             return out
         if policy == "interp_composite":
             return ie * (1 + weights[2] * energy(x, window))
         return ie
-    d1 = np.abs(np.diff(x, prepend=x[:1]))
-    d2 = np.abs(np.diff(d1, prepend=d1[:1]))
-    d2[:2] = 0
+    d1 = np.abs(np.diff(x, prepend=x[..., :1]))
+    d2 = np.abs(np.diff(d1, prepend=d1[..., :1]))
+    d2[..., :2] = 0
     if policy == "low_variance":
-        out = np.full(n, np.inf)
-        three = np.stack([x[:-2], x[1:-1], x[2:]])
-        out[1:-1] = three.var(0)
+        out = np.full(x.shape, np.inf)
+        three = np.stack([x[..., :-2], x[..., 1:-1], x[..., 2:]])
+        out[..., 1:-1] = three.var(0)
         return out
     if policy == "any_step":  # nothing but the oldest sample is safe
-        return np.concatenate(([np.inf], d1[1:]))
+        d1[..., 0] = np.inf
+        return d1
     if policy == "ranks":
         return fused_ranks((d1, d2, energy(x, window)), weights)
     if policy == "adaptive":  # the buffer is full whenever a score is asked for
@@ -98,7 +109,7 @@ def importance(policy: str, t: np.ndarray, x: np.ndarray, beta: float = 0.5, alp
             parts = SINGLE.get(policy, weights)
             out = parts[0] * d1 + parts[1] * d2 + parts[2] * ew
     if n > 3:
-        out[[0, -1]] = np.inf
+        out[..., [0, -1]] = np.inf
     return out
 
 
@@ -134,36 +145,38 @@ def least_linear(x: list[float], weights, window: int) -> int | None:
 def fused_ranks(metrics, weights) -> np.ndarray:
     """Weighted sum of each inner sample's ranks by three metrics, scaled to 0..1; equal metrics are ranked by place. The ends are
     safe where there are more than three samples."""
-    n = len(metrics[0])
+    n = metrics[0].shape[-1]
     own = slice(1, n - 1) if n > 3 else slice(0, n)
-    out, count = np.full(n, np.inf), len(metrics[0][own])
-    total = np.zeros(count)
+    out = np.full(metrics[0].shape, np.inf)
+    total = np.zeros(out[..., own].shape)
+    count = total.shape[-1]
     for metric, weight in zip(metrics, weights, strict=True):
-        ranks = np.empty(count)
-        ranks[np.argsort(metric[own], kind="stable")] = np.arange(count) / max(count - 1, 1)
+        ranks = np.empty(total.shape)
+        np.put_along_axis(ranks, np.argsort(metric[..., own], axis=-1, kind="stable"), np.broadcast_to(np.arange(count) / max(count - 1, 1), total.shape), -1)
         total = total + weight * ranks
-    out[own] = total
+    out[..., own] = total
     return out
 
 
 def frequency_weight(x: np.ndarray, window: int, gamma: float) -> np.ndarray:
     """1 + gamma * the rate of sign changes about the local mean, in the 2 * window + 1 steps from ``window`` before."""
-    n = len(x)
-    total, i = np.concatenate(([0.0], np.cumsum(x))), np.arange(n)
+    n = x.shape[-1]
+    total, i = np.concatenate((np.zeros_like(x[..., :1]), np.cumsum(x, -1)), -1), np.arange(n)
     low, high = np.maximum(i - window, 0), np.minimum(i + window, n - 1)
-    mean = (total[high + 1] - total[low]) / (high - low + 1)
-    rate = np.zeros(n)
+    mean = (total[..., high + 1] - total[..., low]) / (high - low + 1)
+    rate = np.zeros(x.shape)
     for at in range(n):
-        own = x[low[at] : min(low[at] + 2 * window + 1, n - 1) + 1] - mean[at]
-        rate[at] = (own[:-1] * own[1:] < 0).mean() if len(own) > 1 else 0.0
+        own = x[..., low[at] : min(low[at] + 2 * window + 1, n - 1) + 1] - mean[..., at : at + 1]
+        if own.shape[-1] > 1:
+            rate[..., at] = (own[..., :-1] * own[..., 1:] < 0).mean(-1)
     return 1 + gamma * rate
 
 
 def energy(x: np.ndarray, window: int) -> np.ndarray:
-    squares = np.concatenate(([0.0], np.cumsum(np.diff(x) ** 2)))
-    i = np.arange(len(x))
-    low, high = np.maximum(i - window, 0), np.minimum(i + window, len(x) - 1)
-    return np.where(high > low, (squares[high] - squares[low]) / np.maximum(high - low, 1), 0.0)
+    squares = np.concatenate((np.zeros_like(x[..., :1]), np.cumsum(np.diff(x) ** 2, -1)), -1)
+    i = np.arange(x.shape[-1])
+    low, high = np.maximum(i - window, 0), np.minimum(i + window, x.shape[-1] - 1)
+    return np.where(high > low, (squares[..., high] - squares[..., low]) / np.maximum(high - low, 1), 0.0)
 
 
 class Buffer:
@@ -376,6 +389,20 @@ class Within:
         return list(kept(self.kind(high), rows))
 
 
+class Greedy:
+    """All samples of a segment, thinned at its end by ``greedy_places``."""
+
+    def __init__(self, target: int, area: bool):
+        self.target, self.area, self.places, self.values = target, area, array("q"), array("d")
+
+    def push(self, place: int, value: float) -> None:
+        self.places.append(place)
+        self.values.append(value)
+
+    def rest(self) -> list[tuple[int, float]]:
+        return [(self.places[i], self.values[i]) for i in greedy_places(np.array(self.values), self.target, self.area)]
+
+
 class Tuned(Within):
     """A tolerance for ``target`` by doubling an upper end from 1, then halving: the middle of the last bracket. Its rest is one pair, how
     many samples ``kind`` keeps at that tolerance and the tolerance. It holds the segment's samples."""
@@ -533,6 +560,154 @@ def streamed(rows: DataFrame, make, *more: str) -> DataFrame:
     return rows.select(*KEYS, "idx", "value", "n", "nth", *more).mapInArrow(run, f"{SCHEMA}, config int")
 
 
+def side_by_side(rows: DataFrame, run, *more: str) -> DataFrame:
+    """Like ``streamed``, for segments of at most ``WIDE`` samples: ``run(places, values, starts, lengths, more)`` takes about ``ROWS``
+    samples of whole segments, the longest segment first, and gives (segment's number, place, value, config) as arrays."""
+    least = ROWS
+
+    def results(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks()
+        firsts = np.flatnonzero(table["nth"].to_numpy() == 1)
+        firsts = firsts[np.argsort(-table["n"].to_numpy()[firsts], kind="stable")]
+        lengths = table["n"].to_numpy()[firsts]
+        for segment, place, value, config in run(table["idx"].to_numpy(), table["value"].to_numpy(), firsts, lengths, [table[c].to_numpy()[firsts] for c in more]):
+            at = pa.array(firsts[segment])
+            for cut in range(0, len(at), 1 << 16):
+                own = slice(cut, cut + (1 << 16))
+                value_ = value[own] if isinstance(value, pa.Array) else pa.array(value[own], pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(table[c].take(at[own]).combine_chunks() for c in KEYS), pa.array(place[own], pa.int64()), value_, pa.array(np.full(len(at[own]), config), pa.int32())],
+                    [*KEYS, "idx", "value", "config"],
+                )
+
+    def stream(batches):
+        held, count = [], 0
+        for batch in batches:
+            firsts = np.flatnonzero(batch.column("nth").to_numpy() == 1)
+            if len(firsts) and count + firsts[-1] >= least:
+                held.append(batch.slice(0, int(firsts[-1])))
+                yield from results(held)
+                batch, held, count = batch.slice(int(firsts[-1])), [], 0
+            held.append(batch)
+            count += batch.num_rows
+        if count:
+            yield from results(held)
+
+    return rows.select(*KEYS, "idx", "value", "n", "nth", *more).mapInArrow(stream, f"{SCHEMA}, config int")
+
+
+def by_width(rows: DataFrame, run, make, *more: str) -> DataFrame:
+    """``side_by_side`` for short segments of numbers below ``HUGE``, ``streamed`` for others."""
+    own = Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    plain = (F.max(F.abs("value")).over(own) < HUGE) & (F.col("n") <= WIDE)  # nan is greater than any number
+    marked = rows.withColumn("plain", plain)
+    return side_by_side(marked.filter("plain"), run, *more).unionByName(streamed(marked.filter("not plain"), make, *more))
+
+
+def buffered(places: np.ndarray, values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, capacity: int, overload: int, policy: str = "interp", **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Survivors (segment's number, place, value) of a ``Buffer`` for each segment, the longest first. All take a sample at a time:
+    after as many arrivals all buffers hold as many, so a step is one on a matrix."""
+    t, x, held, out = np.zeros((len(starts), capacity)), np.zeros((len(starts), capacity)), 0, []
+
+    def leave(rows: slice, columns: slice) -> None:
+        own = t[rows, columns]
+        out.append((np.repeat(np.arange(len(starts))[rows], own.shape[1]), own.astype(np.int64).ravel(), x[rows, columns].flatten()))
+
+    def remove(alive: int, at: np.ndarray) -> None:
+        stay = np.arange(held - 1) + (np.arange(held - 1) >= at[:, None])
+        for a in (t, x):
+            a[:alive, : held - 1] = np.take_along_axis(a[:alive, :held], stay, 1)
+
+    for i in range(int(lengths.max(initial=0))):
+        alive = int(np.searchsorted(-lengths, -i, side="left"))  # those with more than i samples
+        if held == capacity:
+            if policy in ("fifo", "middle"):
+                at = np.full(alive, 0 if policy == "fifo" else held // 2)
+            else:
+                scores = importance(policy, t[:alive, :held], x[:alive, :held], **options)
+                at = np.where(np.isfinite(scores).any(1), scores.argmin(1), 0)
+            remove(alive, at)
+            held -= 1
+        t[:alive, held], x[:alive, held] = places[starts[:alive] + i], values[starts[:alive] + i]
+        held += 1
+        if (i + 1) % overload == 0:
+            leave(slice(0, alive), slice(0, 1))
+            remove(alive, np.zeros(alive, dtype=int))
+            held -= 1
+        ended = slice(int(np.searchsorted(-lengths, -(i + 1), side="left")), alive)
+        leave(ended, slice(0, held))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def scored(places, values, starts, lengths, kept) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What ``Scored`` gives of each segment, from its survivors: (segment's number, their number, SNR)."""
+    segment, place, value = kept
+    order = np.lexsort((place, segment))
+    segment, place, value = segment[order], place[order], value[order]
+    nth = np.repeat(np.arange(len(starts)), lengths)
+    offset = np.arange(len(nth)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    i, x = places[np.repeat(starts, lengths) + offset], values[np.repeat(starts, lengths) + offset]
+    # survivors before (or at) and after each sample, as places in one sequence of all segments
+    low = int(places.min())
+    step = int(places.max()) - low + 1
+    s = np.searchsorted(segment * step + (place - low), nth * step + (i - low), side="left")
+    firsts = np.searchsorted(segment, np.arange(len(starts)), side="left")[nth]
+    ends = np.searchsorted(segment, np.arange(len(starts)), side="right")[nth]
+    after, before = np.minimum(s, ends - 1), np.maximum(np.minimum(s, ends) - 1, firsts)
+    inside = (s > firsts) & (s < ends) & (place[after] != i)
+    p, v, q, w = place[before], value[before], place[after], value[after]
+    recon = np.where(inside, v + (i - p) / np.where(inside, q - p, 1) * (w - v), w)
+    at = np.cumsum(lengths) - lengths
+    signal, noise = np.add.reduceat(x * x, at), np.add.reduceat((x - recon) ** 2, at)
+    snr = np.where(signal < 1e-15, 0.0, 10 * np.log10(np.maximum(signal, 1e-300) / np.maximum(noise, 1e-300)))
+    return np.arange(len(starts)), np.bincount(segment, minlength=len(starts)), pa.array(snr, pa.float64(), mask=(signal >= 1e-15) & (noise < 1e-15))
+
+
+def halved(places, values, starts, lengths, kind: type[Door], target: np.ndarray, halvings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Within`` keeps of each segment, the longest first, a sample of all segments at a time."""
+    longest = int(lengths.max(initial=0))
+    inside = np.arange(longest) < lengths[:, None]
+    at = np.minimum(starts[:, None] + np.arange(longest), len(values) - 1)
+    t, x = places[at].T.copy(), values[at].T.copy()  # a row for each place in the segments
+    alive = [int(np.searchsorted(-lengths, -i, side="left")) for i in range(longest)]
+
+    def stored(tolerance: np.ndarray) -> np.ndarray:
+        """Whether each sample is kept."""
+        out = np.zeros((longest, len(starts)), dtype=bool)
+        out[0] = True
+        from_t, from_x = t[0].copy(), x[0].copy()
+        low, high = np.full(len(starts), -np.inf), np.full(len(starts), np.inf)
+        for i in range(1, longest):
+            own = slice(0, alive[i])
+            a, b, lo, hi, tol, last, last_x, now, value = from_t[own], from_x[own], low[own], high[own], tolerance[own], t[i - 1, own], x[i - 1, own], t[i, own], x[i, own]
+            moved = last > a
+            if kind is Pieces:
+                run = np.where(moved, last - a, 1)
+                lo[:], hi[:] = np.where(moved, np.maximum(lo, (last_x - tol - b) / run), lo), np.where(moved, np.minimum(hi, (last_x + tol - b) / run), hi)
+                slope = (value - b) / (now - a)
+                closed = ~((lo <= slope) & (slope <= hi))
+                lo[closed], hi[closed] = -np.inf, np.inf
+            else:
+                run = now - a
+                lo[:], hi[:] = np.maximum(lo, (value - tol - b) / run), np.minimum(hi, (value + tol - b) / run)
+                closed = (lo > hi) & moved
+                run = now[closed] - last[closed]
+                lo[closed], hi[closed] = (value[closed] - tol[closed] - last_x[closed]) / run, (value[closed] + tol[closed] - last_x[closed]) / run
+            out[i - 1, own] |= closed
+            a[closed], b[closed] = last[closed], last_x[closed]
+        out[lengths - 1, np.arange(len(starts))] = True
+        return out
+
+    low = np.zeros(len(starts))
+    high = (np.where(inside, x.T, -np.inf).max(1) - np.where(inside, x.T, np.inf).min(1)) + 1e-9
+    for _ in range(halvings):
+        middle = (low + high) / 2
+        fits = stored(middle).sum(0) <= target
+        low, high = np.where(fits, low, middle), np.where(fits, middle, high)
+    segment, place = np.nonzero(stored(high).T)
+    return segment, t[place, segment], x[place, segment]
+
+
 def alone(series: DataFrame, make, *more: str) -> DataFrame:
     """Survivors under one fold for each segment."""
     return streamed(in_sequence(series, *more), lambda row: [make(*row)], *more).drop("config")
@@ -566,12 +741,7 @@ def with_target(series: DataFrame, survivors: DataFrame) -> DataFrame:
 def greedy_to(rows: DataFrame, area: bool = False) -> DataFrame:
     """Greedy removal down to ``target``. A task holds a whole segment, as each choice is over all that is left."""
 
-    def keep(group: pa.Table) -> pa.Table:
-        own = group.take(pc.sort_indices(group["idx"]))
-        left = greedy_places(own["value"].to_numpy(), own["target"][0].as_py(), area)
-        return own.take(pa.array(left, pa.int64())).select([*KEYS, "idx", "value"])
-
-    return rows.groupBy(*KEYS).applyInArrow(keep, SCHEMA)
+    return alone(rows, lambda n, target: Greedy(target, area), "target")
 
 
 def lttb_to(rows: DataFrame) -> DataFrame:
@@ -582,7 +752,8 @@ def tolerance_to(rows: DataFrame, kind: type[Door], halvings: int = HALVINGS) ->
     """Survivors of ``kind`` at the least tolerance, by bisection, that keeps at most ``target`` samples."""
     longest = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     sequence = in_sequence(rows, "target")
-    short = streamed(sequence.filter(F.col("n") <= BLOCK), lambda row: [Within(kind, row[1], halvings)], "target").drop("config")
+    run = lambda places, values, starts, lengths, more: [(*halved(places, values, starts, lengths, kind, more[0], halvings), 0)]
+    short = by_width(sequence.filter(F.col("n") <= BLOCK), run, lambda row: [Within(kind, row[1], halvings)], "target").drop("config")
     if longest <= BLOCK:
         return short
     long = written(rows.join(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), KEYS).drop("n"))
@@ -631,7 +802,8 @@ def at_online_budget(series: DataFrame, capacity: int, overload: int, policy: st
 def swept(series: DataFrame, configs: list[dict]) -> DataFrame:
     """Survivors of ``bounded`` under each of ``configs`` (its keyword arguments), with ``config``, the place in the list.
     One shuffle for the whole sweep: a segment meets all configurations in the task that reads it."""
-    return streamed(in_sequence(series), lambda row: [Buffer(**c) for c in configs])
+    run = lambda places, values, starts, lengths, _: ((*buffered(places, values, starts, lengths, **c), i) for i, c in enumerate(configs))
+    return by_width(in_sequence(series), run, lambda row: [Buffer(**c) for c in configs])
 
 
 def simplex(parts: int = 10, most: int = 8, least: tuple[float, float, float] = (0.05, 0.0, 0.05)) -> list[tuple[float, float, float]]:
@@ -649,7 +821,11 @@ def weights_by_kind(series: DataFrame, kinds: DataFrame, capacity: int, overload
     """(kind, alpha, beta, gamma, trials, mean_snr_db): the weights of ``grid`` with the greatest mean SNR over the segments of
     each kind; ``kinds`` has (keys, kind). Exact results are in neither the mean nor its count; of equal means the earlier weights
     win; kinds without a result are left out. One reading of the series serves the whole grid, and no survivor leaves its task."""
-    scores = streamed(in_sequence(series), lambda row: [Scored(Buffer(capacity, overload, policy, weights=w)) for w in grid])
+    def run(places, values, starts, lengths, _):
+        for i, w in enumerate(grid):
+            yield *scored(places, values, starts, lengths, buffered(places, values, starts, lengths, capacity, overload, policy, weights=w)), i
+
+    scores = by_width(in_sequence(series), run, lambda row: [Scored(Buffer(capacity, overload, policy, weights=w)) for w in grid])
     means = scores.join(kinds.select(*KEYS, "kind"), KEYS).filter("value is not null").groupBy("kind", "config").agg(F.avg("value").alias("snr"), F.count(F.lit(1)).alias("trials"))
     best = means.groupBy("kind").agg(F.max(F.struct(F.round("snr", 9).alias("snr"), (-F.col("config")).alias("c"), "trials")).alias("b"))
     table = F.array(*[F.array(*map(F.lit, w)) for w in grid])

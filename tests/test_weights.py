@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from reedbed.operators import folds
+from reedbed.plans import waves
 from tests.test_folds import slow_parts
 
 
@@ -86,3 +87,41 @@ def test_best_weights_equal_loops(spark):
             if best is None or np.mean(own) > best[0] + 1e-9:
                 best = (np.mean(own), w, len(own))
         assert abs(got[name].mean_snr_db - best[0]) < 1e-6 and np.allclose((got[name].alpha, got[name].beta, got[name].gamma), best[1]) and got[name].trials == best[2]
+
+
+@pytest.mark.parametrize("lengths", [(90,), (70, 90, 4, 60, 1, 2, 9, 8, 90)])
+def test_folds_side_by_side_equal_single_ones(lengths):
+    rng = np.random.default_rng(len(lengths))
+    order = sorted(lengths, reverse=True)
+    x = [np.round(np.cumsum(rng.normal(size=n)), 2) for n in order]
+    dealt = rng.permutation(len(x))
+    starts, at = np.zeros(len(x), dtype=int), 0
+    for k in dealt:
+        starts[k], at = at, at + order[k]
+    values, places, n = np.concatenate([x[k] for k in dealt]), np.concatenate([np.arange(order[k]) for k in dealt]), np.array(order)
+    of = lambda found, k: sorted(zip(found[1][found[0] == k].tolist(), found[2][found[0] == k].tolist(), strict=True))
+    for policy in (*waves.POLICIES, "ranks"):
+        for capacity, overload in ((8, 3), (1, 3), (2, 5), (9, 50)):
+            found = folds.buffered(places, values, starts, n, capacity, overload, policy)
+            assert all(of(found, k) == [(i, x[k][i]) for i in sorted(folds.bounded_places(x[k], capacity, overload, policy))] for k in range(len(x)))
+    _, retained, scores = folds.scored(places, values, starts, n, folds.buffered(places, values, starts, n, 6, 3))
+    for k in range(len(x)):
+        (want, value), own = list(folds.kept(folds.Scored(folds.Buffer(6, 3, "interp")), enumerate(x[k].tolist())))[0], scores[k].as_py()
+        assert retained[k] == want and (own is value is None or abs(own - value) < 1e-9)
+    for kind in (folds.Door, folds.Pieces):
+        found = folds.halved(places, values, starts, n, kind, np.maximum(2, n // 4), 50)
+        assert all(of(found, k) == [(i, x[k][i]) for i in folds.within(x[k], max(2, len(x[k]) // 4), kind)] for k in range(len(x)))
+
+
+def test_long_segments_and_odd_numbers_are_folded_alone(spark, monkeypatch):
+    """A segment beyond ``WIDE`` or with a number that is not finite goes the other way, each by one way alone."""
+    monkeypatch.setattr(folds, "WIDE", 50)
+    monkeypatch.setattr(folds, "ROWS", 64)
+    rng = np.random.default_rng(3)
+    x = {k: np.round(np.cumsum(rng.normal(size=n)), 2) for k, n in enumerate((70, 50, 51, 8, 40, 30))}
+    x[4][7], x[5][3] = np.inf, np.nan
+    rows = spark.createDataFrame([("s", k, i, float(v)) for k, own in x.items() for i, v in enumerate(own)], "signal_id string, segment long, idx long, value double")
+    got = {(k, c): [] for k in x for c in range(2)}
+    for r in folds.swept(rows, [{"capacity": 8, "overload": 3, "policy": p} for p in ("fifo", "area")]).collect():
+        got[r.segment, r.config].append(r.idx)
+    assert all(sorted(got[k, c]) == sorted(folds.bounded_places(x[k], 8, 3, p)) for k in x for c, p in enumerate(("fifo", "area")))
