@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .compare import normal_cdf, pareto
 
+#: Rows of a part that a task sorts.
+ROWS_PER_PART = 250_000
+
 
 def breakdown(results: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean and sample deviation for each pair of ``keys`` and for each key alone; null stands for all."""
@@ -56,10 +59,13 @@ def two_level(pairs: DataFrame, signal: str) -> DataFrame:
 
 
 def distinct_trials(results: DataFrame, config: list[str], trial: str, value: str) -> DataFrame:
-    """One row where all trials of a configuration agree, all its rows where they do not. Nulls agree with nulls only."""
+    """One row where all trials of a configuration agree, all its rows where they do not. Nulls agree with nulls only. The number of
+    parts follows from the rows, about ``ROWS_PER_PART`` in each, so that what a task sorts does not grow with the table."""
+    parts = max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + results.count() // ROWS_PER_PART)
     own = Window.partitionBy(*config)
     same = (F.min(value).over(own).eqNullSafe(F.max(value).over(own))) & ((F.count(value).over(own) == 0) | (F.count(value).over(own) == F.count(F.lit(1)).over(own)))
-    return results.withColumn("same__", same).withColumn("row__", F.row_number().over(own.orderBy(trial))).filter("not same__ or row__ = 1").drop("same__", "row__")
+    dealt = results.repartition(parts, *config)
+    return dealt.withColumn("same__", same).withColumn("row__", F.row_number().over(own.orderBy(trial))).filter("not same__ or row__ = 1").drop("same__", "row__")
 
 
 def per_signal(results: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pandas as pd
 
 from reedbed.operators import classify, folds, matching, results, signals
 from reedbed.plans import matches, reports
+from reedbed.sources import files
 from reedbed.sources.series import KEYS, read_samples
 from reedbed.streaming import bounded
 
@@ -107,3 +108,18 @@ def test_crossings_do_not_depend_on_the_order_of_rows(spark):
     rows = [(f"s{nth}", 0, int(i), x[i]) for nth, order in enumerate(orders) for i in order]
     got = signals.profile(spark.createDataFrame(rows, "signal_id string, segment long, idx long, value double")).collect()
     assert {r.crossing_rate for r in got} == {0.1}
+
+
+def test_parts_of_trials_follow_from_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(results, "ROWS_PER_PART", 100, raising=False)
+    rows = spark.range(1000).selectExpr("id % 50 AS c", "id AS t", "if(id % 50 < 25, 1, id) AS v")
+    got = results.distinct_trials(rows, ["c"], "t", "v")
+    assert got.rdd.getNumPartitions() == 11 and got.count() == 25 + 500
+
+
+def test_files_of_signals_do_not_grow_with_their_number(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('s', id % 500) AS signal_id", "0L AS segment", "id div 500 AS idx", "id / 4 AS value")
+    files.write_signals(rows, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").rglob("*.txt"))) <= 4
+    key = lambda r: (r.signal_id, r.segment, r.idx, r.value)
+    assert sorted(map(key, files.read_signals(spark, str(tmp_path / "s")).collect())) == sorted(map(key, rows.collect()))
