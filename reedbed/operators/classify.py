@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..sources.series import KEYS
 
@@ -52,13 +55,26 @@ def spectrum(series: DataFrame, size: int = 64) -> DataFrame:
 def spectrum_of_blocks(series: DataFrame, size: int = 512, last: bool = False) -> DataFrame:
     """(keys, block, n, k, mag): magnitudes of the first n / 2 bins of each block of ``size`` samples, n being its own
     number of samples: the last block of a series is shorter. Block 0 alone is the form of min(N, size) samples, which the
-    reference takes. A window holds at most ``size`` samples. With ``last`` also bin n / 2."""
+    reference takes. A block is transformed as one array of at most ``size`` samples. With ``last`` also bin n / 2."""
     blocks = series.select(*KEYS, F.floor(F.col("idx") / size).alias("block"), (F.col("idx") % size).alias("at"), "value")
-    own = blocks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "block"))).filter("n > 1")
-    bins = own.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int") - (0 if last else 1))).alias("k"))
-    angle = F.lit(2 * math.pi) / F.col("n") * ((F.col("k") * F.col("at")) % F.col("n"))
-    g = bins.groupBy(*KEYS, "block", "n", "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
-    return g.select(*KEYS, "block", "n", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
+    own = blocks.groupBy(*KEYS, "block").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.collect_list(F.struct("at", F.coalesce("value", F.lit(0.0)).alias("v"))).alias("own")).filter("n > 1")
+    mags = own.select(*KEYS, "block", "n", "known", F.posexplode(_magnitudes(F.col("own.at"), F.col("own.v"), F.lit(last))).alias("k", "mag"))
+    return mags.select(*KEYS, "block", "n", "k", F.when(F.col("known") > 0, F.col("mag")).alias("mag"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _magnitudes(at: pd.Series, value: pd.Series, last: pd.Series) -> pd.Series:
+    """Of each block of n samples, placed by ``at`` modulo n, the first n / 2 magnitudes (with ``last`` one more); blocks of one length side by side."""
+    sizes = at.str.len().to_numpy()
+    out = np.empty(len(at), dtype=object)
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        x = np.zeros((len(rows), n))
+        np.add.at(x, (np.arange(len(rows))[:, None], np.stack(at.iloc[rows].to_numpy()) % n), np.stack(value.iloc[rows].to_numpy()))
+        found = np.abs(np.fft.rfft(x, axis=1))
+        for row, mags in zip(rows, found, strict=True):
+            out[row] = mags if last.iloc[row] else mags[: n // 2]
+    return pd.Series(out)
 
 
 def features(series: DataFrame, width: int) -> DataFrame:

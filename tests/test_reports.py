@@ -123,3 +123,14 @@ def test_files_of_signals_do_not_grow_with_their_number(spark, tmp_path):
     assert len(list((tmp_path / "s").rglob("*.txt"))) <= 4
     key = lambda r: (r.signal_id, r.segment, r.idx, r.value)
     assert sorted(map(key, files.read_signals(spark, str(tmp_path / "s")).collect())) == sorted(map(key, rows.collect()))
+
+
+def test_spectrum_takes_no_row_for_each_sample_and_bin(spark):
+    """Samples meet their bins inside a task; a sample without a value adds nothing, and places count modulo the block's number of rows."""
+    values = {"a": {i: None if i == 3 else float(i % 5) for i in range(12)}, "b": {i: float(i) for i in range(0, 10, 2)}}
+    rows = spark.createDataFrame([(name, 0, i, v) for name, own in values.items() for i, v in own.items()], "signal_id string, segment long, idx long, value double")
+    got = classify.spectrum_of_blocks(rows, 16)
+    assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+    mags = {(r.signal_id, r.n, r.k): r.mag for r in got.collect()}
+    true = {(name, len(own), k): abs(sum((v or 0.0) * np.exp(-2j * np.pi * k * i / len(own)) for i, v in own.items())) for name, own in values.items() for k in range(len(own) // 2)}
+    assert mags.keys() == true.keys() and all(abs(mags[x] - true[x]) < 1e-9 for x in true)
