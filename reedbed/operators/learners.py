@@ -1,7 +1,7 @@
 """Learners on labelled vectors, judged fold by fold, and labelled windows after a reduction.
 
 A fold is fitted by Spark ML on the rows of the other folds, so training data never lie in one task; the driver loops over
-folds and methods, not rows. The kernel machine is a linear one on random Fourier features: with ``scale`` = 1 / (dimensions x
+methods, not rows, and has the folds of one fitted side by side. The vectors are written first: three statistics and the folds read them. The kernel machine is a linear one on random Fourier features: with ``scale`` = 1 / (dimensions x
 variance), features cos(w.x + b) for normal w of variance 2 x scale have the radial kernel exp(-scale |x - y|^2) as their
 mean product (Rahimi and Recht, 2007).
 """
@@ -9,9 +9,11 @@ mean product (Rahimi and Recht, 2007).
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer
@@ -61,7 +63,7 @@ def learned(vectors: DataFrame, folds: int = 5, kind: str = "margins", kernel: b
     length. Scaling is by all rows, as the folds' labels have no part in it. With fewer than two labels all rows get the one
     there is; a fold without rows gives none."""
     usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) != float("inf")))
-    clean = vectors.filter(usable).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    clean = written(vectors.filter(usable).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x")))
     seen = clean.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width"), F.count_distinct("label").alias("labels")).first()
     dealt = stratified(clean, folds)
     if seen.labels < 2:
@@ -78,9 +80,10 @@ def learned(vectors: DataFrame, folds: int = 5, kind: str = "margins", kernel: b
         model = learner(kind, seen.n).fit(ready.filter(F.col("fold") != fold))
         return model.transform(ready.filter(F.col("fold") == fold)).select("vec_id", F.col("own").alias("label"), "fold", F.element_at(names, (F.col("prediction") + 1).cast("int")).cast(vectors.schema["label"].dataType).alias("predicted"))
 
-    found = reduce(DataFrame.unionByName, [judged(i) for i in range(folds)])
-    out = written(found)
-    discard(table)
+    with ThreadPool(folds) as pool:
+        found = pool.map(inheritable_thread_target(vectors.sparkSession)(judged), range(folds))
+    out = written(reduce(DataFrame.unionByName, found))
+    discard(table, clean)
     return out
 
 

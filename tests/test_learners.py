@@ -49,3 +49,18 @@ def test_vectors_return_from_series(spark):
 def test_folds_of_the_table(spark):
     rows = matches.queries()["kernel_folds"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n for r in rows) == 500 and all(0 <= r.accuracy <= 1 for r in rows)
+
+
+def test_vectors_are_made_once(spark):
+    """Statistics and folds read what was written; they do not make the vectors again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(i, i % 2, [float(i % 2), float(i % 5)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = learners.learned(vectors.mapInArrow(count, vectors.schema), kind="logistic", kernel=False)
+    assert found.count() == 40 and made.value == 40
