@@ -110,6 +110,20 @@ def test_crossings_do_not_depend_on_the_order_of_rows(spark):
     assert {r.crossing_rate for r in got} == {0.1}
 
 
+def test_crossings_are_those_of_a_sum_in_the_order_of_the_samples(spark):
+    """The mean of each series is one of its samples; added up in order, it may miss that by a rounding error, and then the sample has a side, as in the SQL."""
+    x = [[0.0, 0.1, 0.2, 0.3, 0.1, 0.1, 0.0, 0.1, 0.2, -0.1], *([round(v / 10, 1) for v in np.random.default_rng(i).integers(0, 8, 7).tolist()] for i in range(400))]
+    rows = [(f"s{nth}", 0, i, v) for nth, own in enumerate(x) for i, v in enumerate(own)]
+    rows = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]
+    got = {r.signal_id: r.crossing_rate for r in signals.profile(spark.createDataFrame(rows, "signal_id string, segment long, idx long, value double")).collect()}
+    for nth, own in enumerate(x):
+        total = 0.0
+        for v in own:
+            total += v
+        c = [v - total / len(own) for v in own]
+        assert got[f"s{nth}"] == sum(a * b < 0 for a, b in zip(c, c[1:])) / len(own)  # noqa: B905
+
+
 def test_parts_of_trials_follow_from_the_rows(spark, monkeypatch):
     monkeypatch.setattr(results, "ROWS_PER_PART", 100, raising=False)
     rows = spark.range(1000).selectExpr("id % 50 AS c", "id AS t", "if(id % 50 < 25, 1, id) AS v")
