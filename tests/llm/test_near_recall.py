@@ -159,3 +159,40 @@ def test_widths_on_both_sides_of_the_border(spark):
                 assert size >= nd.LONG and nd.common(reach, k, nd.SIMILARITY).min() >= 1 + size // nd.MORE
         for other in range(nd.least_size(np.array([size]), nd.SIMILARITY)[0], size + 1):
             assert int(nd.width(np.array([other]), nd.SIMILARITY)[0]) in set(nd.widths(size, nd.SIMILARITY)) & set(nd.widths(other, nd.SIMILARITY))
+
+
+def test_all_texts_are_counted(spark, monkeypatch):
+    """The cells hold all k-mers of all texts, and a k-mer of more than ``LARGE`` of each ``SHARE`` texts is named."""
+    monkeypatch.setattr(nd, "COUNTED", 10, raising=False)
+    monkeypatch.setattr(nd, "SHARE", 10, raising=False)
+    monkeypatch.setattr(nd, "LARGE", 2)
+    rng = np.random.default_rng(8)
+    words = [np.concatenate((rng.integers(0, 2**32, 40), [1, 2, 3])).astype(np.uint32) for _ in range(200)]
+    names = [" ".join(f"k{w}" for w in own).encode() for own in words]
+    df = spark.createDataFrame([(i, bytearray(nd.zlib.compress(w, 1))) for i, w in enumerate(names)], "uid long, words binary")
+    levels, hot = nd.counted(df, len(names), nd.SIMILARITY)
+    tokens, n = np.unique(np.concatenate([nd.kmers(nd.hashes(w), k) for w in names for k in nd.widths(43, nd.SIMILARITY)]), return_counts=True)
+    total = np.bincount((tokens >> np.uint64(64 - nd.CELLS)).astype(np.int64), n, 1 << nd.CELLS)
+    assert np.array_equal(np.argsort(total[total > 0], kind="stable"), np.argsort(levels[total > 0], kind="stable")) and not levels[total == 0].any()
+    assert np.array_equal(hot, tokens[n == 200])
+
+
+def test_edits_change_few_cells_of_a_mark():
+    rng = np.random.default_rng(10)
+    for _ in range(500):
+        a = rng.integers(0, 2**32, int(rng.integers(0, nd.MARKED))).astype(np.uint32)
+        b, edits = a.copy(), int(rng.integers(0, 12))
+        for _ in range(edits):
+            at, kind = int(rng.integers(0, len(b) + 1)), rng.integers(3) if len(b) else 1
+            b = np.insert(b, at, rng.integers(0, 2**32)) if kind == 1 else np.delete(b, min(at, len(b) - 1)) if kind == 0 else np.where(np.arange(len(b)) == at, rng.integers(0, 2**32), b).astype(np.uint32)
+        assert np.bitwise_count(nd.mark(a) ^ nd.mark(b)).sum() <= 2 * edits - abs(len(a) - len(b))
+
+
+def test_texts_that_share_a_passage_alone_seldom_meet(spark, monkeypatch):
+    """Texts of 40 words, 22 of them a common passage: each two share half of their runs of three words and are no copies. Copies among them are found."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(22)]
+    texts = [" ".join(passage[:11] + [f"q{x}" for x in rng.integers(100_000, size=18)] + passage[11:]) for _ in range(200)]
+    texts += [t.replace("p3", "other") for t in texts[::20]]
+    (met, _, _), label = rows_of(spark, monkeypatch, texts)
+    assert met < 2000 and label == [*range(200), *range(0, 200, 20)]
