@@ -132,3 +132,26 @@ def test_defined_cases(spark):
 
     none = m.scores(spark.createDataFrame(rows, schema), held=F.lit(True)).collect()
     assert {(r.train_tokens, r.base_score, r.n_known) for r in none} == {(0, 0.0, 0)} and all(abs(r.score) < 1e-3 for r in none)
+
+
+def test_every_token_has_its_whole_probability(spark):
+    """Without features the score is the base score, so no token's part is left out: words of the model, other frequent ones, tokens longer than the model holds, and unknown
+    ones. With a trained model the probabilities of all known tokens and of the unknown one sum to 1."""
+    long = "y" * 200
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**6 + i, f"{long} a {long}z{i} b unheardof{i}") for i in range(20)], "doc_id long, text string"))
+    given = docs.withColumn("held_out", m.held_out(docs["doc_id"]))
+    words = m.vocabulary(given.filter("not held_out"))
+    rows = m.encoded(given, words)
+    learned = rows.filter("not held_out")
+    plain = m.scored(rows, words, m.trained(learned, words, rounds=())).collect()
+    assert words.types > m.WORDS and any(r.n_known < r.n_tokens for r in plain) and rows.filter("n_tail > 0 and n_rare > 0").count()
+    assert all(r.score == pytest.approx(r.base_score, rel=1e-4) for r in plain)
+    model = m.trained(learned, words)
+    _, contexts = m.windows(np.array([5, 60_000, 7]), np.array([3]))
+    codes = np.arange(m.WORDS + 1)
+    shares = np.exp(model.log_probabilities(codes, np.repeat(contexts[:, 2:3], len(codes), axis=1)))
+    counts = {bytes(r.token): r.c for r in words.counts.collect()}
+    others = [c for t, c in counts.items() if t not in set(words.frequent[: m.WORDS])]
+    assert len(others) == words.types - m.WORDS
+    assert shares[:-1].sum() + shares[-1] * sum((c + 1) / words.rest for c in [*others, 0]) == pytest.approx(1, abs=1e-4)
